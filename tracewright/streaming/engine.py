@@ -60,8 +60,7 @@ def stream_pairs(events: DataFrame, lookback_days: int = 30) -> DataFrame:
         rows = next_pairs(state, list(zip(pdf.event_type, pdf.ms, strict=True)), lookback)
         kept = [(k, p, m) for k, v in state["open"].items() for p, m in v]
         group.update((state["n"], [x[0] for x in kept], [int(x[1]) for x in kept], [int(x[2]) for x in kept], list(state["last"]), [int(x) for x in state["last"].values()]))
-        if (mark := group.getCurrentWatermarkMs()) > 0:
-            group.setTimeoutTimestamp(mark + lookback)
+        group.setTimeoutTimestamp(max(int(pdf.ms.max()), group.getCurrentWatermarkMs() + 1) + lookback)
         out = pd.DataFrame(rows, columns=["eventA", "eventB", "positionA", "positionB", "a", "b"])
         for c, ms in (("timeA", "a"), ("timeB", "b")):
             out[c] = pd.to_datetime(out[ms].astype("int64"), unit="ms")
