@@ -139,3 +139,23 @@ def digest(docs: DataFrame) -> DataFrame:
     """Counts by kind, the hash of the pattern spans and all spans of each document."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return scan(docs).select("doc_id", *(count(i).alias(f"n_{KINDS[i]}") for i in range(3)), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def mask(docs: DataFrame, replacement: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of every text replaced (overlapping spans by one mark). Row order and other columns stay;
+    null texts stay null. Only documents with spans meet their spans in a join, by doc_id and text hash."""
+    named = docs.withColumn("_h", F.xxhash64("text"))
+    found = scan(named.withColumn("_k", F.struct("doc_id", "_h")), key="_k").filter(F.size("spans") > 0)
+    found = found.select(F.col("_k.doc_id").alias("_id"), F.col("_k._h").alias("_hh"), F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans")).dropDuplicates(["_id", "_hh"])
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
+        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], before, F.lit(replacement)).alias("out"))
+        more = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
+        return F.when(x["s"] >= acc["at"], fresh).otherwise(more)
+
+    done = F.aggregate("_spans", start, step)
+    masked = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return named.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hh")), "left").withColumn("text", masked).select(*docs.columns)
