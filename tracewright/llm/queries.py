@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, language, neardup, neighbours, packing, secrets, tokens
+from tracewright.llm import decontaminate, language, neardup, neighbours, packing, passages, ppm, secrets, tokens
 
 
 def tokenizer_path() -> str:
@@ -26,10 +26,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op4_minhash_near_dedup, op7_token_files, op8_nearest_neighbours, op9_benchmark_decontamination,
+    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_substring_dedup, op4_minhash_near_dedup, op6_lm_scoring, op7_token_files, op8_nearest_neighbours, op9_benchmark_decontamination,
                                   op10_language_id)
 }
 SQL: dict[str, str] = {
