@@ -14,7 +14,7 @@ from tracewright.llm._shared import in_fold, slices
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 DIM = 16
-#: Bound on the labelled rows that a model is fitted on; those with the smallest hashes of their id.
+#: About how many labelled rows a model is fitted on, at most twice as many; those with the smallest hashes of their id.
 SAMPLE = 4000
 UNKNOWN = "und"
 
@@ -124,16 +124,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2.0
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = 4, held_out: int = 2) -> Model | None:
-    """Fits on at most ``sample`` labelled rows outside the held-out fold."""
-    rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", modulus, held_out))
-            .select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").select("text", "lang").limit(sample))
-    got = rows.collect()
+    """Fits on about ``sample`` labelled rows outside the held-out fold (never over twice as many): the share of rows with
+    the smallest hashes. The rows are counted first, so no task sends more than its share."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", modulus, held_out))
+    share = min(1.0, sample / max(1, rows.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    got = sorted(rows.filter(drawn).select("text", "lang").limit(2 * sample).collect())
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
-_OUT = "lang_pred string, score double, rejected boolean"
-
-
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (calibrated probability) and ``rejected`` to the columns of ``docs`` (its own columns of
     these names go).
