@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, language, neardup, neighbours, packing, passages, ppm, secrets, tokens
+from tracewright.llm import decontaminate, html, language, neardup, neighbours, packing, passages, ppm, secrets, tokens
 
 
 def tokenizer_path() -> str:
@@ -34,6 +34,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_substring_dedup, op4_minhash_near_dedup, op6_lm_scoring, op7_token_files, op8_nearest_neighbours, op9_benchmark_decontamination,
+    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_substring_dedup, op4_minhash_near_dedup, op5_html_extraction, op6_lm_scoring, op7_token_files, op8_nearest_neighbours, op9_benchmark_decontamination,
                                   op10_language_id)
 }
 SQL: dict[str, str] = {
