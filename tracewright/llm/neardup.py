@@ -20,6 +20,8 @@ from tracewright.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: two texts of similarity 0.8 miss each other with probability 1e-4, of 0.9 with 1e-9.
 BANDS, ROWS = 24, 5
+#: Most rounds with one centre for each band.
+_TURNS = 3
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -107,6 +109,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("_x") + F.size("_y") - both) - 1e-9).select("a", "b")
 
 
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, similarity: float, path: str) -> DataFrame:
+    """Pairs of documents of different components that may reach the similarity, by prefix filtering, which is exact.
+
+    With the shingles of all sets in one order, rare ones first, two sets of Jaccard similarity t or more share one of the
+    first n - ceil(t n) + 1 of either, and their first common one must leave room for the rest on both sides. Texts that have just a common passage in common do not meet in their rare shingles.
+    """
+    held = settle(docs.join(sets, "doc_id").select("doc_id", "n", "root", F.explode("sh").alias("t")), f"{path}/held")
+    often = settle(held.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"), f"{path}/often")
+    # a shingle of one set alone is the rarest there is: it takes a place of the prefix and leads to no pair
+    per = held.join(often, "t").groupBy("doc_id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    # left: shingles of the set from this one on, itself included
+    alone = F.col("n") - F.size("ts")
+    places = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
+    listed = per.filter(places > 0).select("doc_id", "n", "root", F.posexplode(F.slice("ts", F.lit(1), places.cast("int"))).alias("at", "x"), alone.alias("_alone"))
+    first = settle(listed.select("doc_id", "n", "root", F.col("x.t").alias("t"), (F.col("n") - F.col("_alone") - F.col("at")).alias("left")), f"{path}/first")
+    # a pair's first common shingle has all their common ones behind it on either side; the smaller set needs a longer rest
+    rest = lambda left, n, m: left * (1 + similarity) >= similarity * (n + m) - 1e-9
+    small = first.filter(rest(F.col("left"), F.col("n"), F.col("n")))
+    large = first.select(F.col("doc_id").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_r"), "t", F.col("left").alias("_left"))
+    ordered = (F.col("_n") > F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("b") > F.col("doc_id")))
+    met = small.join(large, "t").filter((F.col("root") != F.col("_r")) & ordered & rest(F.least("left", "_left"), F.col("n"), F.col("_n")))
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the smallest doc_id of the class.
 
@@ -115,9 +141,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     empty) are equal to their exact copies only. Rows of one doc_id count as one document; a null doc_id is a class of
     its own, with a null class_id. An empty table gives no rows.
 
-    Copies meet in a partial minimum, never as pairs. A band's documents are compared with one centre; only where that
-    leaves a band with several components, further centres and at last all pairs between the components follow, so no
-    candidate is lost and a large group of near copies costs a comparison for each.
+    Copies meet in a partial minimum, never as pairs. A band's documents are compared with one centre, so a large group
+    of near copies costs a comparison for each. Where that leaves a band with several components, more centres follow if
+    they are many, and then the documents of those bands meet by an exact prefix filter, so no candidate is lost.
     """
     spark, root = docs.sparkSession, work_dir(docs.sparkSession, "neardup")
     known = docs.filter("doc_id IS NOT NULL")
@@ -132,21 +158,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     links = roots = None
     size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    for turn in range(8):
+    for turn in range(_TURNS + 1):
         at = members.withColumn("root", F.col("doc_id")) if roots is None else members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        live = at.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("c"),
-                                      F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("centre")).filter("_lo < _hi")
-        live = settle(live, f"{root}/live{turn}")
-        open_pairs, n = live.agg(F.sum(F.col("c") * F.col("c")), F.count("*")).first()
+        if turn:
+            at = settle(at.join(live.select("band"), "band", "left_semi"), f"{root}/at{turn}")
+        # a band is live while it holds several components; its main one is the largest
+        held = at.groupBy("band", "root").agg(F.count("*").alias("k"))
+        live = held.groupBy("band").agg(F.sum("k").alias("c"), F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+        live = settle(live.select("band", "c", F.col("main.root").alias("main"), F.col("main.k").alias("k")), f"{root}/live{turn}")
+        n, open_pairs = live.agg(F.count("*"), F.sum((F.col("c") - F.col("k")) * F.col("c"))).first()
         if not n:
             break
-        last = turn > 0 and (open_pairs <= 1_000_000 or open_pairs <= 4 * members.count() or turn == 7)
+        last = turn == _TURNS or turn and open_pairs <= max(1_000_000, 64 * members.count())
         if last:
-            left = at.join(live.select("band"), "band", "left_semi")
-            right = left.select("band", F.col("doc_id").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_r"))
-            pairs = left.withColumnRenamed("doc_id", "a").join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("_r")) & size(F.col("n"), F.col("_n"))).select("a", "b").distinct()
+            pairs = _prefix_pairs(at.select("doc_id", "n", "root").distinct(), sets, similarity, f"{root}/prefix")
         else:
-            pairs = (at.join(live.select("band", "centre"), "band").filter((F.col("doc_id") != F.col("centre.doc_id")) & (F.col("root") != F.col("centre.root")) & size(F.col("n"), F.col("centre.n")))
+            first = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
+            centre = at.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "root"), first).alias("centre"))
+            pairs = (at.join(settle(centre.join(live.select("band"), "band"), f"{root}/centre{turn}"), "band")
+                     .filter((F.col("doc_id") != F.col("centre.doc_id")) & (F.col("root") != F.col("centre.root")) & size(F.col("n"), F.col("centre.n")))
                      .select(F.col("centre.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
         new = settle(_verified(pairs, sets, similarity), f"{root}/links{turn}")
         links = new if links is None else links.unionByName(new)
