@@ -13,6 +13,7 @@ U = np.uint64
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the cluster names. Only a local session without one gets its own."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,6 +25,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: no more than 2000 of them go to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 2000:
+        spark.conf.set(name, "2000")
+
+
 def settle(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing."""
     w = df.write.option("compression", "zstd")

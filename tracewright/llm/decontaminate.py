@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._shared import ALNUM, doc_words, shingles, slices
+from tracewright.llm._shared import ALNUM, doc_words, shingles, slices, small_batches
 
 #: Words of the shortest tile, and the share of an item's words that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.5
@@ -99,6 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE,
     they are: the benchmark is counted first and goes out in blocks of a bounded size.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()

@@ -111,12 +111,19 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
 # --- wrappers: [label, repeated, optional, text, link text, noise, children] ------------------------------------------
 
 
+#: Levels and neighbours that a wrapper tells apart. The reading of pages has no such bounds.
+_DEPTH, _WIDTH = 60, 64
+
+
 def tree_of(page: str) -> list:
     root = ["", 0, 0, 0, 0, 0, []]
     stack = [root]
     for kind, what, flag in events(page):
         if kind == "open":
-            stack[-1][6].append(node := [what, 0, 0, 0, 0, int(flag), []])
+            if len(stack) < _DEPTH:
+                stack[-1][6].append(node := [what, 0, 0, 0, 0, int(flag), []])
+            else:  # deeper elements are not told apart in the wrapper; their text counts at this one
+                node = stack[-1]
             stack.append(node)
         elif kind == "close":
             stack[-1][6] = _groups(stack[-1][6])
@@ -129,7 +136,7 @@ def tree_of(page: str) -> list:
 
 
 def _groups(children: list) -> list:
-    """Neighbours of one label as one repeated group."""
+    """Neighbours of one label as one repeated group; a long row of changing labels is one group of each."""
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
@@ -137,6 +144,11 @@ def _groups(children: list) -> list:
             out[-1][1] = 1
         else:
             out.append(c)
+    if len(out) > _WIDTH:
+        by: dict[str, list] = {}
+        for c in out:
+            by[c[0]] = [*(m := merge(by[c[0]], c))[:1], 1, *m[2:]] if c[0] in by else c
+        out = list(by.values())
     return out
 
 
@@ -215,9 +227,9 @@ def main_text(page: str | None, region: str = "") -> str:
             if not noise:
                 buffer.append(what)
         elif kind == "open":
-            if not noise:
-                end()
             name = what.split(".")[0]
+            if not noise and name not in _RAW:  # a script stands within its block
+                end()
             # a header is noise but for the headings of an article
             lost = _ or name == "header" and not where
             here = bool(region) and (what == region or tag in _ARTICLE and name == tag)

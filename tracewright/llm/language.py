@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._shared import in_fold, slices
+from tracewright.llm._shared import in_fold, slices, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
@@ -144,6 +144,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
+    small_batches(docs.sparkSession)
     letter = re.compile(r"[^\W\d_]").search
     place = kept.index("text")
 
