@@ -221,6 +221,45 @@ def test_chain():
     assert sorted(passages.chain(x + [300], y + [0])) == [(0, 9), (10, 10)]
 
 
+def test_chains_keep_apart():
+    """A longer chain before, words put in between and a changed middle part cost no exact passage."""
+    x = [*range(0, 200, 6), *range(260, 360, 6)]
+    assert sorted((x[a], x[b]) for a, b in passages.chain(x, x)) == [(0, 198), (260, 356)]
+    x = [*range(0, 100, 6), *range(106, 206, 6)]
+    y = [v if v < 100 else v + 150 for v in x]
+    assert sorted((x[a], y[b]) for a, b in passages.chain(x, y)) == [(0, 96), (106, 352)]
+    rng = random.Random(3)
+    for _ in range(200):  # every link is within reach, and no match is in two chains
+        x = sorted(rng.sample(range(400), 60))
+        y = [v + rng.choice([0, 0, 0, 30, -30, 90]) for v in x]
+        found = passages.paths(x, y)
+        assert sorted(i for p in found for i in p) == list(range(60))
+        assert all(0 < x[j] - x[i] <= passages.GAP and 0 < y[j] - y[i] <= passages.GAP for p in found for i, j in zip(p[:-1], p[1:], strict=True))
+
+
+def test_passages_of_edited_texts(spark):
+    """Two exact passages of a pair of texts with other words between them, of equal and of unequal number: every word of a
+    run of 50 equal words is reported, on either side."""
+    rnd, rows = random.Random(21), []
+    for k, (first, between, other, second) in enumerate([(200, 60, 60, 80), (60, 35, 35, 60), (100, 0, 150, 100), (70, 20, 38, 55), (55, 10, 300, 52), (400, 39, 20, 51)]):
+        p, q = words(first, rnd), words(second, rnd)
+        for i, n in enumerate((between, other)):
+            rows.append((2 * k + i, " ".join([words(15, rnd), p, words(n, rnd), q, words(9, rnd)])))
+    got = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    held = [t.split() for _, t in rows]
+    at = defaultdict(list)
+    for i, w in enumerate(held):
+        for k in range(len(w) - 49):
+            at[tuple(w[k:k + 50])].append((i, k))
+    want = defaultdict(set)
+    for places in at.values():
+        for i, k in places if len({i for i, _ in places}) > 1 else ():
+            want[i] |= set(range(k, k + 50))
+    assert set(want) == set(range(len(rows))) and all(want[i] <= got[i] for i in want)
+
+
 def test_tiles(spark, docs, empty):
     rnd = random.Random(8)
     items = [(i, words(40, rnd)) for i in range(12)] + [(50, "tiny item"), (51, None), (52, "")]
