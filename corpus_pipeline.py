@@ -15,11 +15,15 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: the document with the smallest doc_id of each class stays (all rows without a doc_id stay)."""
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti")
-    return first.select(*docs.columns)
+    """Near-dedup: the document with the smallest doc_id of each class stays, once if its row is repeated (all rows without
+    a doc_id stay). Rows of one doc_id with other texts are one document: they stay or go together."""
+    classes = settle(neardup.near_duplicates(docs.select("doc_id", "text")), f"{work_dir(spark, 'classes')}/rows").filter("doc_id IS NOT NULL")
+    judged = classes.groupBy("doc_id").agg(F.max(F.col("class_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
+    gone, again = judged.filter("gone").select("doc_id"), judged.filter("NOT gone AND n > 1").select("doc_id")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone.unionByName(again), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
