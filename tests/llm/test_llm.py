@@ -393,5 +393,17 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == set(seen["secret_scan"])
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(6)
+    a, b, c = words(40, rnd), words(50, rnd), words(30, rnd)
+    rows = [(1, a, "en"), (1, a, "en"), (2, a, "en"), (3, b, None), (4, c, "de"), (4, c, "de"), (4, c, "de"), (5, None, "en"), (5, None, "en"), (None, c, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = cp.keep_one_of_each(spark, docs, "").collect()
+    assert sorted(got, key=str) == sorted(spark.createDataFrame([(1, a, "en"), (3, b, None), (4, c, "de"), (5, None, "en"), (None, c, "en")], docs.schema).collect(), key=str)
+    assert cp.keep_one_of_each(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered():
     assert {re.match(r"op\d+", n)[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
