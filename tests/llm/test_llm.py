@@ -237,6 +237,20 @@ def test_chains_keep_apart():
         assert all(0 < x[j] - x[i] <= passages.GAP and 0 < y[j] - y[i] <= passages.GAP for p in found for i, j in zip(p[:-1], p[1:], strict=True))
 
 
+def test_passages_under_shorter_shares(spark):
+    """Every short seed of a passage lies in shorter shares of it too, in the documents at both ends of the id order."""
+    rnd = random.Random(31)
+    passage = words(60, rnd).split()
+    parts = [passage[0:24], passage[19:43], passage[38:60]]
+    scattered = lambda: " ".join(w for p in parts for w in [*words(70, rnd).split(), *p])
+    rows = [(1, scattered()), (9, scattered())] + [(i, " ".join([words(30, rnd), *passage, words(20 + i, rnd)])) for i in (4, 5, 6)]
+    got = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    assert set(got) == {4, 5, 6} and all(set(range(30, 90)) <= x for x in got.values())
+    assert passages.spread(np.array([3, 5]), np.array([7, 1]), np.array([6, 25]), 6, 12) == ([3, 5, 17, 24], [7, 1, 13, 20])
+
+
 def test_passages_of_edited_texts(spark):
     """Two exact passages of a pair of texts with other words between them, of equal and of unequal number: every word of a
     run of 50 equal words is reported, on either side."""
