@@ -26,10 +26,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents are long rows: no more than 2000 of them go to a Python worker at once."""
+    """Documents are long rows: no more than 2000 of them and about 4 MB go to a Python worker at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > 2000:
         spark.conf.set(name, "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def settle(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
