@@ -249,6 +249,8 @@ def test_passages_under_shorter_shares(spark):
         got[r.doc_id] |= set(range(r.start, r.end))
     assert set(got) == {4, 5, 6} and all(set(range(30, 90)) <= x for x in got.values())
     assert passages.spread(np.array([3, 5]), np.array([7, 1]), np.array([6, 25]), 6, 12) == ([3, 5, 17, 24], [7, 1, 13, 20])
+    g, x, y, n = (np.array(v) for v in zip((1, 10, 20, 25), (1, 12, 22, 6), (1, 28, 38, 6), (1, 90, 20, 25), (2, 12, 22, 25), (2, 14, 24, 6), strict=True))
+    assert passages.needed(g, x, y, n, 6, 12).tolist() == [False, True, True, True, True, True]
 
 
 def test_passages_of_edited_texts(spark):
