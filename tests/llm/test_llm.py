@@ -365,6 +365,15 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names(spark):
+    """Only whole names are noise, no words of values, of slugs or after modifiers; a wrapper overrules names."""
+    body = '<div class="{}" id="{}"><h2 id="social-history">Social</h2><p title="the hidden costs">costs</p><section id="search-algorithms">search</section><p>more of the text</p></div>'
+    aside = '<div class="ad-slot">x</div><div id="post-comments">y</div><div class="site-footer">z</div><div class="no-ads" hidden>w</div>'
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{body.format(c, d)}{aside}</body></html>") for i, (c, d) in enumerate([("content no-sidebar", ""), ("post has-comments", ""), ("header-fixed", "page"), ("header", ""), ("x", "header")])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"Social\n\ncosts\n\nsearch\n\nmore of the text"} and len(got) == 5
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 8)).astype(np.float32).round(1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tracewright.llm._shared import settle, slices, work_dir
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.S)
-_NAMES = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Whole attributes, so that no word of a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 #: Element names by what they do to text.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _GONE = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "template", "object", "canvas", "dialog", "menu", "audio", "video"}
@@ -27,33 +28,59 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "emb
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4",
           "h5", "h6", "header", "hgroup", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in class, id or role that name what is no article.
+#: Words that name what is no article, alone or with words of place and shape, or as the last of others; what
+#: a name with a modifier says is said of something else.
 _NOISE = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs
 footer header masthead comment comments reply replies respond disqus cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login share sharing
 social related recommended recommendations popup modal overlay widget pagination pager complementary contentinfo search toolbar alert""".split())
+_SHAPE = frozenset("""area articles bar block bottom box button buttons col column container global group inner item items left link links list main outer panel posts primary
+right rows secondary section site slot stories thread top unit wrap wrapper""".split())
+_LAST = frozenset("ads breadcrumb breadcrumbs comments footer nav navigation pagination sidebar".split())
+_MODIFIERS = frozenset("has hide is no not show with without".split())
+#: An id on one of these is a place to link to; a heading may be called a header.
+_ANCHORS = _HEADINGS | {"section", "p", "li", "dt", "dd", "td", "th", "tr", "span", "figure", "blockquote", "pre", "details", "summary"}
+_TITLES = frozenset(("header", "masthead", "banner"))
 _ARTICLE = ("article", "main")
+#: Noise of an element: by its nature, or by its names only, which a wrapper may overrule.
+_SURE, _NAMED = 1, 2
 #: An open element of the first kind ends where one of the second begins.
 _ENDS = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}}
 _SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body"}
 
 
-def label_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label, noise): the element with its class, and whether it is no part of an article."""
-    noise, words = tag in _GONE, ""
-    if attributes:
-        for m in _NAMES.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                noise = True
-            elif name != "style":
-                found = [w for w in re.split(r"[^a-z]+", value.lower()) if w]
-                noise |= not _NOISE.isdisjoint(found) and tag not in ("html", "body", *_ARTICLE)
-                if name == "class":
-                    words = ".".join(sorted(set(found)))
-    return f"{tag}.{words}" if words else tag, noise
+def names_noise(token: str) -> bool:
+    """Whether a class or id as a whole names what is no article."""
+    parts = {w for w in re.split(r"[^a-z]+", token) if w}
+    if parts.isdisjoint(_NOISE) or not parts.isdisjoint(_MODIFIERS):
+        return False
+    return parts <= _NOISE | _SHAPE or re.split(r"[^a-z]+", token.rstrip("0123456789-_"))[-1] in _LAST
+
+
+def label_of(tag: str, attributes: str) -> tuple[str, int]:
+    """(label, noise): the element with its class, and whether it is no part of an article. What is noise by its attributes
+    has a mark in its label, and its id."""
+    noise, words, seen = _SURE if tag in _GONE else 0, set(), set()
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower()
+        if name in seen:
+            continue  # the first of a name counts
+        seen.add(name)
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+            noise |= _SURE
+            words.add("!hidden")
+        elif name in ("class", "id", "role"):
+            if name == "class":
+                words |= {w for w in re.split(r"[^a-z]+", value) if w}
+            if tag in ("html", "body", *_ARTICLE) or name == "id" and tag in _ANCHORS:
+                continue
+            tokens = [x for x in value.split() if not (tag in _HEADINGS and x in _TITLES)]
+            if any(x in _NOISE if name == "role" else names_noise(x) for x in tokens):
+                noise |= _NAMED
+                words.add("!" if name == "class" else f"!{name}-" + "-".join(w for w in re.split(r"[^a-z]+", value) if w))
+    return ".".join([tag, *sorted(words)]), noise
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
+def events(page: str) -> Iterator[tuple[str, str, int]]:
     """("open", label, noise), ("close", tag, False), ("text", raw text, in a link) with the ends that HTML lets out."""
     stack: list[str] = []
     link, at, low = 0, 0, ""
@@ -180,15 +207,42 @@ def _align(a: list, b: list) -> list:
     return out
 
 
-def region_of(wrapper: list) -> str:
+def kept_of(wrapper: list) -> list[str]:
+    """Labels of elements that are noise by their names only, but hold most of the text that is no link."""
+    found: set[str] = set()
+
+    def mass(node: list) -> int:
+        return 0 if node[5] & _SURE else node[3] - node[4] + sum(map(mass, node[6]))
+
+    by: dict[str, int] = {}
+
+    def add(node: list, above: frozenset) -> None:
+        if node[5] & _SURE:
+            return
+        if node[5] and node[0] not in above:
+            by[node[0]] = by.get(node[0], 0) + mass(node)
+            above = above | {node[0]}
+        for c in node[6]:
+            add(c, above)
+
+    add(wrapper, frozenset())
+    total = mass(wrapper)
+    found.update(label for label, n in by.items() if 2 * n > total)
+    return sorted(found)
+
+
+def region_of(wrapper: list, kept: Collection[str] = ()) -> str:
     """Label of the element that holds a host's articles: article or main, else the smallest element with seven tenths of
     the text that is neither link nor noise."""
 
+    def lost(node: list) -> bool:
+        return bool(node[5]) and (bool(node[5] & _SURE) or node[0] not in kept)
+
     def mass(node: list) -> int:
-        return 0 if node[5] else node[3] - node[4] + sum(map(mass, node[6]))
+        return 0 if lost(node) else node[3] - node[4] + sum(map(mass, node[6]))
 
     def find(node: list, tag: str) -> str | None:
-        if node[5]:
+        if lost(node):
             return None
         if node[0].split(".")[0] == tag:
             return node[0]
@@ -199,13 +253,13 @@ def region_of(wrapper: list) -> str:
             return label
     node, total = wrapper, mass(wrapper)
     while True:
-        child = max((c for c in node[6] if not c[5]), key=mass, default=None)
+        child = max((c for c in node[6] if not lost(c)), key=mass, default=None)
         if child is None or child[1] or mass(child) < 0.7 * total or child[0].split(".")[0] in _HEADINGS | {"p", "li", "td", "pre", "blockquote"}:
             return node[0]
         node = child
 
 
-def main_text(page: str | None, region: str = "") -> str:
+def main_text(page: str | None, region: str = "", kept: Collection[str] = ()) -> str:
     """Blocks inside the region (elsewhere if the page has none) without noise, joined by an empty line."""
     if not page:
         return ""
@@ -231,7 +285,7 @@ def main_text(page: str | None, region: str = "") -> str:
             if not noise and name not in _RAW:  # a script stands within its block
                 end()
             # a header is noise but for the headings of an article
-            lost = _ or name == "header" and not where
+            lost = _ & _SURE or _ and what not in kept or name == "header" and not where
             here = bool(region) and (what == region or tag in _ARTICLE and name == tag)
             stack.append([what, lost, here])
             noise += bool(lost)
@@ -287,19 +341,19 @@ def extract(pages: DataFrame) -> DataFrame:
         out = None
         for w in sorted(table.column("wrapper").to_pylist()):
             out = json.loads(w) if out is None else merge(out, json.loads(w))
-        return pa.table({"_host": table.column("_host").slice(0, 1), "_region": pa.array([region_of(out)], pa.string())})
+        return pa.table({"_host": table.column("_host").slice(0, 1), "_region": pa.array([region_of(out, kept := kept_of(out))], pa.string()), "_kept": pa.array([kept], pa.list_(pa.string()))})
 
     wrappers = named.select("_host", "html").mapInArrow(learn, "_host string, wrapper string")
-    regions = settle(wrappers.groupBy("_host").applyInArrow(fold, "_host string, _region string"), f"{root}/regions")
+    regions = settle(wrappers.groupBy("_host").applyInArrow(fold, "_host string, _region string, _kept array<string>"), f"{root}/regions")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = batch.column("html").to_pylist()
             for a, b in slices(pages):
-                texts = [main_text(p, r or "") for p, r in zip(pages[a:b], batch.column("_region").slice(a, b - a).to_pylist(), strict=True)]
                 chunk = batch.slice(a, b - a)
+                texts = [main_text(p, r or "", k or ()) for p, r, k in zip(pages[a:b], chunk.column("_region").to_pylist(), chunk.column("_kept").to_pylist(), strict=True)]
                 yield pa.record_batch([chunk.column("page_id"), chunk.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return (named.join(regions, "_host", "left").select("page_id", "url", "html", "_region")
+    return (named.join(regions, "_host", "left").select("page_id", "url", "html", "_region", "_kept")
             .mapInArrow(read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"))
