@@ -374,6 +374,19 @@ def test_html_names(spark):
     assert set(got.values()) == {"Social\n\ncosts\n\nsearch\n\nmore of the text"} and len(got) == 5
 
 
+def test_html_regions(spark):
+    """Titles and leads beside the text stay; teasers do not stand for the text; each template of a host has its region."""
+    lead = "<div class=wrap><h1>Title</h1><div class=lead>the lead</div><div class=body><p>{0}</p><p>{0}</p></div></div>".format("much text " * 20)
+    cards = "<div class=text><p>{0}</p><p>{0}</p></div><article class=card>teaser</article><article class=card>another</article>".format("long words " * 20)
+    plain = "<div class=top><p><a>link</a></div><article class=post><p>{0}</p></article>".format("an article " * 20)
+    titled = "<div class=page><h1>Head</h1><main><p>{0}</p></main></div><div class=rest>rest</div>".format("main part " * 20)
+    link = "<div class=hold><h1><a>Linked</a></h1><div class=body><p>{0}</p></div></div>".format("more text " * 20)
+    rows = [(10 * k + i, "http://one.example/", f"<html><body>{b}</body></html>") for k, b in enumerate((lead, cards, plain, titled, link)) for i in range(4)]
+    got = {r.page_id: r.text.split() for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = [["Title", "the", "lead"] + ["much", "text"] * 40, ["long", "words"] * 40 + ["teaser", "another"], ["an", "article"] * 20, ["Head"] + ["main", "part"] * 20, ["Linked"] + ["more", "text"] * 20]
+    assert all(got[10 * k + i] == w for k, w in enumerate(want) for i in range(4))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 8)).astype(np.float32).round(1)

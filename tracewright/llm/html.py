@@ -1,15 +1,16 @@
 """Main text of web pages, by wrappers inferred for each host.
 
-The pages of a host are token streams of one or a few templates. They are folded pairwise into a union-free regular
-expression: labels that agree are aligned, neighbours of one label become a repeated group, what only one side has becomes
+The pages of a host are token streams of one or a few templates. Those of a template are folded pairwise into a union-free
+regular expression: labels that agree are aligned, neighbours of one label become a repeated group, what only one side has becomes
 optional, and text becomes a slot with the amount of text and of link text seen there. The wrapper then tells where the
-host keeps its articles; a page is read along it.
+template keeps its articles; a page is read along it.
 """
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Collection, Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -142,6 +143,25 @@ def events(page: str) -> Iterator[tuple[str, str, int]]:
 _DEPTH, _WIDTH = 60, 64
 
 
+#: Elements that a template is known by, and how near the root.
+_CONTAINERS, _NEAR = {"html", "body", "div", "main", "article", "section", "table", "center"}, 5
+
+
+def template_of(page: str) -> int:
+    """What pages of one template have in common: the paths of labels of the containers near the root, hashed."""
+    found, stack = set(), [("", True)]
+    for kind, what, noise in events(page):
+        if kind == "open":
+            path, live = stack[-1]
+            live = live and not noise and len(stack) <= _NEAR and what.split(".")[0] in _CONTAINERS
+            stack.append((f"{path}/{what}" if live else path, live))
+            if live:
+                found.add(stack[-1][0])
+        elif kind == "close" and len(stack) > 1:
+            stack.pop()
+    return int.from_bytes(blake2b("\n".join(sorted(found)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def tree_of(page: str) -> list:
     root = ["", 0, 0, 0, 0, 0, []]
     stack = [root]
@@ -232,31 +252,45 @@ def kept_of(wrapper: list) -> list[str]:
 
 
 def region_of(wrapper: list, kept: Collection[str] = ()) -> str:
-    """Label of the element that holds a host's articles: article or main, else the smallest element with seven tenths of
-    the text that is neither link nor noise."""
+    """Label of the element that holds the articles of a template: of article and main the one with more text, if it has half
+    of all that is neither link nor noise (an element about it, if the title stands there). Else the smallest element
+    beside which no such text stands."""
+
+    def tag(node: list) -> str:
+        return node[0].split(".")[0]
 
     def lost(node: list) -> bool:
         return bool(node[5]) and (bool(node[5] & _SURE) or node[0] not in kept)
 
     def mass(node: list) -> int:
-        return 0 if lost(node) else node[3] - node[4] + sum(map(mass, node[6]))
+        return 0 if lost(node) else node[3] - (0 if tag(node) in _HEADINGS else node[4]) + sum(map(mass, node[6]))
 
-    def find(node: list, tag: str) -> str | None:
+    def tops(node: list, name: str, above: tuple) -> Iterator[tuple[list, tuple]]:
         if lost(node):
-            return None
-        if node[0].split(".")[0] == tag:
-            return node[0]
-        return next((x for c in node[6] if (x := find(c, tag))), None)
+            return
+        if tag(node) == name:
+            yield node, above
+            return
+        for c in node[6]:
+            yield from tops(c, name, (*above, node))
+
+    def has(node: list, names: tuple) -> bool:
+        return not lost(node) and (tag(node) in names or any(has(c, names) for c in node[6]))
 
-    for tag in _ARTICLE:
-        if label := find(wrapper, tag):
-            return label
-    node, total = wrapper, mass(wrapper)
+    total = mass(wrapper)
+    found = [(sum(mass(n) for n, _ in places), name, places) for name in _ARTICLE if (places := list(tops(wrapper, name, ())))]
+    if found:
+        held, _, places = max(found, key=lambda x: (x[0], x[1] == "article"))
+        if 2 * held >= total:
+            first, above = max(places, key=lambda x: mass(x[0]))
+            titled = any(has(n, ("h1", "h2")) for n, _ in places)
+            return first[0] if titled else next((n[0] for n in reversed(above) if n[0] and has(n, ("h1",))), first[0])
+    node = wrapper
     while True:
-        child = max((c for c in node[6] if not lost(c)), key=mass, default=None)
-        if child is None or child[1] or mass(child) < 0.7 * total or child[0].split(".")[0] in _HEADINGS | {"p", "li", "td", "pre", "blockquote"}:
+        live = [c for c in node[6] if mass(c)]
+        if node[3] > node[4] or len(live) != 1 or live[0][1] or tag(live[0]) in _HEADINGS | {"p", "li", "td", "pre", "blockquote"}:
             return node[0]
-        node = child
+        node = live[0]
 
 
 def main_text(page: str | None, region: str = "", kept: Collection[str] = ()) -> str:
@@ -285,7 +319,7 @@ def main_text(page: str | None, region: str = "", kept: Collection[str] = ()) ->
             if not noise and name not in _RAW:  # a script stands within its block
                 end()
             # a header is noise but for the headings of an article
-            lost = _ & _SURE or _ and what not in kept or name == "header" and not where
+            lost = _ & _SURE or _ and what not in kept or name == "header" and region and not where
             here = bool(region) and (what == region or tag in _ARTICLE and name == tag)
             stack.append([what, lost, here])
             noise += bool(lost)
@@ -315,19 +349,19 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row (columns page_id, url, html).
 
     Null or empty html, or a page without article text, gives an empty text and 0. A null or strange url is the host "".
-    Repeated rows give a row each; an empty table none; other columns do not matter. A task folds the pages it has of a host
-    into one wrapper, so a hot host sends one row a task; pages meet their host's region in a join that can be split.
+    Repeated rows give a row each; an empty table none; other columns do not matter. A task folds the pages it has of a
+    template of a host into one wrapper, so a hot one sends one row a task; pages meet their region in a join that can be split.
     """
     spark, root = pages.sparkSession, work_dir(pages.sparkSession, "html")
     named = pages.select("page_id", "url", "html", host_of().alias("_host"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple[str, int], list] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    tree = tree_of(page)
-                    held[host] = merge(held[host], tree) if host in held else tree
+                    tree, at = tree_of(page), (host, template_of(page))
+                    held[at] = merge(held[at], tree) if at in held else tree
                 if len(held) > 20_000:
                     yield rows(held)
                     held = {}
@@ -335,16 +369,20 @@ def extract(pages: DataFrame) -> DataFrame:
             yield rows(held)
 
     def rows(held: dict) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(held), pa.string()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["_host", "wrapper"])
+        return pa.record_batch([pa.array([h for h, _ in held], pa.string()), pa.array([t for _, t in held], pa.int64()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["_host", "_template", "wrapper"])
 
     def fold(table: pa.Table) -> pa.Table:
         out = None
         for w in sorted(table.column("wrapper").to_pylist()):
             out = json.loads(w) if out is None else merge(out, json.loads(w))
-        return pa.table({"_host": table.column("_host").slice(0, 1), "_region": pa.array([region_of(out, kept := kept_of(out))], pa.string()), "_kept": pa.array([kept], pa.list_(pa.string()))})
+        return pa.table({"_host": table.column("_host").slice(0, 1), "_template": table.column("_template").slice(0, 1), "_region": pa.array([region_of(out, kept := kept_of(out))], pa.string()), "_kept": pa.array([kept], pa.list_(pa.string()))})
+
+    wrappers = named.select("_host", "html").mapInArrow(learn, "_host string, _template long, wrapper string")
+    regions = settle(wrappers.groupBy("_host", "_template").applyInArrow(fold, "_host string, _template long, _region string, _kept array<string>"), f"{root}/regions")
 
-    wrappers = named.select("_host", "html").mapInArrow(learn, "_host string, wrapper string")
-    regions = settle(wrappers.groupBy("_host").applyInArrow(fold, "_host string, _region string, _kept array<string>"), f"{root}/regions")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array([template_of(p) if p else None for p in batch.column("html").to_pylist()], pa.int64())], names=[*batch.schema.names, "_template"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,5 +393,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.record_batch([chunk.column("page_id"), chunk.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return (named.join(regions, "_host", "left").select("page_id", "url", "html", "_region", "_kept")
+    signed = named.mapInArrow(sign, f"page_id {kinds['page_id']}, url {kinds['url']}, html string, _host string, _template long")
+    return (signed.join(regions, ["_host", "_template"], "left").select("page_id", "url", "html", "_region", "_kept")
             .mapInArrow(read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"))
