@@ -276,6 +276,29 @@ def test_passages_of_edited_texts(spark):
     assert set(want) == set(range(len(rows))) and all(want[i] <= got[i] for i in want)
 
 
+def test_passages_with_spread_edits(spark):
+    """Passages of 60 words with every k-th word changed (similarity 0.8 to 0.9) and with words left out are all found, as
+    far as a brute-force alignment of them goes."""
+    rnd, rows, want = random.Random(41), [], {}
+    for i in range(100):
+        p, k = [f"w{rnd.randrange(10**6)}" for _ in range(60)], (5, 6, 7, 8, 10)[i % 5]
+        q = [f"e{rnd.randrange(10**6)}" if j % k == k - 1 else w for j, w in enumerate(p)]
+        q = [w for j, w in enumerate(q) if i % 2 or j % (2 * k) != k - 1]
+        for d, t in ((2 * i, p), (2 * i + 1, q)):
+            rows.append((d, " ".join([words(15, rnd), *t, words(15, rnd)])))
+        if passages.common(np.array([hash(w) for w in p[:-1]]), np.array([hash(w) for w in q[:-1]])) >= 0.8 * 59:
+            want[2 * i] = 2 * i + 1
+    got = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.other_id == want.get(r.doc_id):
+            got[r.doc_id] |= set(range(r.start, r.end))
+    missed = [d for d in want if len(got[d] & set(range(15, 75))) < 50]
+    assert len(want) == 100 and not missed
+    g, x = np.array([1] * 30), np.arange(30)
+    assert np.flatnonzero(passages.thinned(g, x, x + 5, np.full(30, 4), 4, 12)).tolist() == [0, 12, 24, 29]
+    assert passages.least_span(50, 0.8, 4) == 7
+
+
 def test_tiles(spark, docs, empty):
     rnd = random.Random(8)
     items = [(i, words(40, rnd)) for i in range(12)] + [(50, "tiny item"), (51, None), (52, "")]
