@@ -27,9 +27,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Decontamination: documents that hold a benchmark item go."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Decontamination: documents that hold a benchmark item go, and so do rows without a doc_id, which their text tells apart."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    hit = decontaminate.contaminated(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    unnamed = docs.filter("doc_id IS NULL").select(F.col("text").alias("doc_id"), "text")
+    texts = decontaminate.contaminated(unnamed, benchmark).select(F.col("doc_id").alias("text")).distinct()
+    kept = docs.filter("doc_id IS NULL").join(texts, "text", "left_anti").select(*docs.columns)
+    return docs.filter("doc_id IS NOT NULL").join(hit, "doc_id", "left_anti").select(*docs.columns).unionByName(kept)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -466,5 +466,17 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert cp.keep_one_of_each(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_drops_contaminated_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(8)
+    bench, clean = words(40, rnd), words(60, rnd)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bench + " " + words(9, rnd), 1), (None, clean, 2), (None, clean, 3), (None, None, 4), (5, bench, 5), (6, clean, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = cp.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r.n_chars for r in got.collect()) == [2, 3, 4, 6]
+
+
 def test_registered():
     assert {re.match(r"op\d+", n)[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
