@@ -315,6 +315,15 @@ def test_tiles(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_long_tiles(spark):
+    """A long excerpt is a hit, however long the item."""
+    rnd = random.Random(9)
+    item = [f"i{k}" for k in range(59)]
+    rows = [(n, " ".join([words(20, rnd), *item[7:7 + n], words(20, rnd)])) for n in (5, 12, 13, 25, 40)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.covered_words, r.tiles) for r in got) == [(n, n, 1) for n in (13, 25, 40)]
+
+
 def test_language(spark, empty):
     rnd = random.Random(9)
     kinds = {"aa": ["bado", "kire", "mula"], "bb": ["stroh", "pflug", "schnee"], "cc": ["zzyx", "qwuv", "xxoj"]}

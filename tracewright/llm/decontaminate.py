@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm._shared import ALNUM, doc_words, shingles, slices, small_batches
 
-#: Words of the shortest tile, and the share of an item's words that tiles must cover.
-LEAST_TILE, COVERAGE = 5, 0.5
+#: Words of the shortest tile, the share of an item's words that tiles must cover, and words of a tile that suffices alone.
+LEAST_TILE, COVERAGE, LONG_TILE = 5, 0.5, 13
 #: Benchmark characters in one broadcast index; a larger benchmark goes in several blocks, each over all documents.
 BLOCK_CHARS = 32_000_000
 
@@ -90,9 +90,9 @@ class Index:
                 yield int(d[a]), int(q[a]), k, list(zip(i[a:b].tolist(), j[a:b].tolist(), strict=True))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS, long: int = LONG_TILE) -> DataFrame:
     """(doc_id, item_id, coverage, covered_words, tiles) of every document that holds an item's words in tiles of ``least``
-    words or more which cover the share ``coverage`` of the item, in whatever order.
+    words or more which cover the share ``coverage`` of the item, in whatever order, or in one tile of ``long`` words.
 
     Words are lower-cased runs of letters and digits. Items shorter than a tile must occur whole. Null or empty texts and
     items without words match nothing; repeated rows give a row each; other columns do not matter. Documents stay where
@@ -121,11 +121,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE,
                         touched = np.zeros(len(item) + 1, np.int64)
                         for j in {j for _, j in starts}:
                             touched[j:j + k] = 1
-                        if touched.sum() < coverage * len(item):
+                        if touched.sum() < min(coverage * len(item), long):
                             continue  # tiles cover no more than the shared windows do
                         tiles = tile(words[at[d]:at[d + 1]], item, starts, k)
                         covered = sum(n for _, _, n in tiles)
-                        if covered >= coverage * len(item):
+                        if covered >= coverage * len(item) or tiles[0][2] >= long:
                             found.append((d, index.ids[q], covered / len(item), covered, len(tiles)))
                     if found:
                         d, q, share, covered, n = zip(*found, strict=True)
