@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,12 @@ from pyspark.sql import functions as F
 U = np.uint64
 
 
+#: Open lists of the work folders that were named since; see ``folders``.
+_NAMED: list[list[str]] = []
+#: Most ids in a broadcast (some tens of MB); what is larger is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the cluster names. Only a local session without one gets its own."""
     small_batches(spark)
@@ -22,7 +29,34 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
         base = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for held in _NAMED:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """The work folders that are named inside; whoever has written what was read from them may ``discard`` them."""
+    held: list[str] = []
+    _NAMED.append(held)
+    try:
+        yield held
+    finally:
+        _NAMED.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes work folders that nothing will read any more."""
+    jvm = spark._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A table of ids (which must be cheap to read twice) marked for a broadcast if it is small; the join shuffles it else."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def small_batches(spark: SparkSession) -> None:
