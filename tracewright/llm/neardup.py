@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._shared import SPACED, U, doc_words, mix, settle, shingles, slices, work_dir
+from tracewright.llm._shared import SPACED, U, discard, doc_words, folders, mix, settle, shingles, slices, work_dir
 from tracewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: two texts of similarity 0.8 miss each other with probability 1e-4, of 0.9 with 1e-9.
 BANDS, ROWS = 24, 5
-#: Most rounds with one centre for each band.
+#: Rounds with one centre for each band, before the prefix filter settles the bands that are still open.
 _TURNS = 3
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -142,11 +142,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     its own, with a null class_id. An empty table gives no rows.
 
     Copies meet in a partial minimum, never as pairs. A band's documents are compared with one centre, so a large group
-    of near copies costs a comparison for each. Where that leaves a band with several components, more centres follow if
-    they are many, and then the documents of those bands meet by an exact prefix filter, so no candidate is lost.
+    of near copies costs a comparison for each. Where that leaves a band with several components two more centres follow,
+    and then the documents of those bands meet by an exact prefix filter, so no candidate is lost. The rounds are the same
+    at any size.
     """
-    spark, root = docs.sparkSession, work_dir(docs.sparkSession, "neardup")
-    known = docs.filter("doc_id IS NOT NULL")
+    spark = docs.sparkSession
+    with folders() as made:
+        classes = _classes(docs.filter("doc_id IS NOT NULL"), words, similarity, bands, rows)
+        done = list(made)
+        classes = settle(classes, f"{work_dir(spark, 'classes')}/rows")
+    discard(spark, done)
+    return classes.unionByName(docs.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def _classes(known: DataFrame, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    root = work_dir(known.sparkSession, "neardup")
     table = settle(shingle_table(known, words, bands, rows), f"{root}/shingles")
     reps = settle(table.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), f"{root}/reps")
     one = table.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -162,14 +172,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         at = members.withColumn("root", F.col("doc_id")) if roots is None else members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         if turn:
             at = settle(at.join(live.select("band"), "band", "left_semi"), f"{root}/at{turn}")
-        # a band is live while it holds several components; its main one is the largest
+        # a band is live while it holds several components
         held = at.groupBy("band", "root").agg(F.count("*").alias("k"))
-        live = held.groupBy("band").agg(F.sum("k").alias("c"), F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-        live = settle(live.select("band", "c", F.col("main.root").alias("main"), F.col("main.k").alias("k")), f"{root}/live{turn}")
-        n, open_pairs = live.agg(F.count("*"), F.sum((F.col("c") - F.col("k")) * F.col("c"))).first()
-        if not n:
+        live = settle(held.groupBy("band").agg(F.count("*").alias("roots")).filter("roots > 1").select("band"), f"{root}/live{turn}")
+        if live.isEmpty():
             break
-        last = turn == _TURNS or turn and open_pairs <= max(1_000_000, 64 * members.count())
+        last = turn == _TURNS
         if last:
             pairs = _prefix_pairs(at.select("doc_id", "n", "root").distinct(), sets, similarity, f"{root}/prefix")
         else:
@@ -188,4 +196,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         rep = rep.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     else:
         rep = rep.withColumnRenamed("rep", "class_id")
-    return rep.unionByName(docs.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+    return rep
