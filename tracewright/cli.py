@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--duration_determination", action="store_true")
     p.add_argument("--source_format", default="kafka", help="streaming: kafka, or text for a folder of JSON lines")
     p.add_argument("--source_option", action="append", default=[], metavar="KEY=VALUE")
+    p.add_argument("--drop_late", action="store_true", help="streaming: drop events that are not later than the last one of their trace")
+    p.add_argument("--metrics", metavar="FILE", help="streaming: a file of the driver for starts, progress and ends of the queries, a JSON line each")
+    p.add_argument("--available_now", action="store_true", help="streaming: end when what is there has been read")
     return p
 
 
@@ -52,10 +55,10 @@ def main(args: list[str] | None = None) -> None:
         store.delete_log()
     if c.system == "streaming":
         from tracewright.sources.readers import decode_messages, stream_source
-        from tracewright.streaming.engine import run_stream
+        from tracewright.streaming.engine import lines_to, run_stream
 
         raw = stream_source(spark, c.source_format, **dict(x.split("=", 1) for x in c.source_option))
-        for q in run_stream(store, decode_messages(raw), c.lookback):
+        for q in run_stream(store, decode_messages(raw), c.lookback, c.available_now, not c.drop_late, lines_to(c.metrics) if c.metrics else None):
             q.awaitTermination()
         return
     if c.file == "synthetic":

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.pairs import with_next_other, with_other_types
+from tracewright.operators.pairs import with_next_other
 
 
 def _started(log: DataFrame, starts: DataFrame | None) -> DataFrame:
@@ -62,22 +62,23 @@ ORDER_RULES = ("precedence", "alternate-precedence", "chain-precedence", "respon
 
 
 def order_state(log: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """All six ordered rules. Alternate and chain counts are the same in both directions and computed once."""
-    gaps = with_next_other(log).filter("nxt IS NOT NULL AND event_type <> other")
-    gaps = (_started(gaps, starts).filter(F.col("nxt.position") >= F.col("start"))
-            .groupBy("trace_id", F.col("event_type").alias("eventA"), F.col("other").alias("eventB"), F.col("nxt.position").alias("b"))
-            .agg(F.count("*").alias("r"), F.max("position").alias("a")))
-    per = gaps.groupBy("eventA", "eventB").agg(F.sum("r").alias("response"), F.count("*").alias("alternate"),
-                                               F.count_if(F.col("a") == F.col("b") - 1).alias("chain"))
-    after = per.select("eventA", "eventB", F.explode(F.create_map(
-        *(x for rule, c in (("response", "response"), ("alternate-response", "alternate"), ("alternate-precedence", "alternate"),
-                            ("chain-response", "chain"), ("chain-precedence", "chain")) for x in (F.lit(rule), F.col(c))))).alias("rule", "occurrences"))
+    """All six ordered rules. Alternate and chain counts are the same in both directions and computed once.
+
+    Each event stands once for every other type of its trace, and that one frame serves both ways: as A, with the next B; as
+    B, with the first A. One shuffle by trace; what follows is sums.
+    """
     whole = Window.partitionBy("trace_id", "other")
-    seen = with_other_types(log).withColumn("_first", F.min(F.when(F.col("event_type") == F.col("other"), F.col("position"))).over(whole))
-    before = (_started(seen, starts).filter("event_type <> other AND _first < position AND position >= start")
-              .groupBy(F.col("other").alias("eventA"), F.col("event_type").alias("eventB")).agg(F.count("*").alias("occurrences"))
-              .withColumn("rule", F.lit("precedence")))
-    return after.unionByName(before).filter("occurrences > 0").select("rule", "eventA", "eventB", "occurrences")
+    first = F.min(F.when(F.col("event_type") == F.col("other"), F.col("position"))).over(whole)
+    seen = _started(with_next_other(log).withColumn("_first", first).filter("event_type <> other"), starts)
+    gaps = (seen.groupBy("trace_id", "start", "event_type", "other", F.col("nxt.position").alias("b"))
+            .agg(F.count("*").alias("r"), F.max("position").alias("a"), F.count_if((F.col("_first") < F.col("position")) & (F.col("position") >= F.col("start"))).alias("after")))
+    new = F.coalesce(F.col("b") >= F.col("start"), F.lit(False))
+    per = gaps.groupBy("event_type", "other").agg(
+        F.sum(F.when(new, F.col("r")).otherwise(0)).alias("response"), F.count_if(new).alias("alternate"),
+        F.count_if(new & (F.col("a") == F.col("b") - 1)).alias("chain"), F.sum("after").alias("precedence"))
+    entry = lambda rule, a, b, n: F.struct(F.lit(rule).alias("rule"), F.col(a).alias("eventA"), F.col(b).alias("eventB"), F.col(n).alias("occurrences"))
+    rows = [entry(rule, "event_type", "other", n) for rule, n in (("response", "response"), ("alternate-response", "alternate"), ("alternate-precedence", "alternate"), ("chain-response", "chain"), ("chain-precedence", "chain"))]
+    return per.select(F.inline(F.array(*rows, entry("precedence", "other", "event_type", "precedence")))).filter("occurrences > 0")
 
 
 def merge_state(old: DataFrame, change: DataFrame, value: str) -> DataFrame:

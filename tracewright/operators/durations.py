@@ -39,12 +39,26 @@ def enablement(log: DataFrame, concurrent: DataFrame | None = None) -> DataFrame
     return step.withColumn("enabled_ts", held).drop("_pt", "_pts", "_conc")
 
 
+#: Width of a bucket of time, in microseconds: no task holds more of a resource than an hour of it.
+BUCKET_US = 3_600_000_000
+
+
 def start_times(log: DataFrame, concurrent: DataFrame | None = None) -> DataFrame:
-    """Adds ``start_ts`` (the later of enablement and the resource's last earlier end) and ``waiting_time`` in seconds."""
+    """Adds ``start_ts`` (the later of enablement and the resource's last earlier end) and ``waiting_time`` in seconds.
+
+    The last earlier end is looked for in the event's own hour, then in the last one before that has any: a busy resource is
+    split by time, and only a row for each of its hours meets in one task.
+    """
     ready = enablement(log, concurrent)
-    # RANGE up to 1 microsecond before: strictly earlier ends, ties left out
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    free = Window.partitionBy("resource").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    out = ready.withColumn("_us", micros).withColumn("_free", F.when(F.col("resource").isNotNull(), F.max("ts").over(free)))
-    start = F.greatest("enabled_ts", F.col("_free"))
-    return out.withColumn("start_ts", start).withColumn("waiting_time", seconds_between(F.col("enabled_ts"), F.col("start_ts"))).drop("_us", "_free")
+    ready = ready.withColumn("_us", micros).withColumn("_hour", F.floor(F.col("_us") / BUCKET_US))
+    # RANGE up to 1 microsecond before: strictly earlier ends, ties left out
+    near = Window.partitionBy("resource", "_hour").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("resource").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = ready.filter("resource IS NOT NULL").groupBy("resource", "_hour").agg(F.max("ts").alias("_end"))
+    carried = hours.select("resource", "_hour", F.max("_end").over(before).alias("_carried"))
+    out = ready.withColumn("_near", F.max("ts").over(near)).join(carried, ["resource", "_hour"], "left")
+    free = F.when(F.col("resource").isNotNull(), F.coalesce("_near", "_carried"))
+    start = F.greatest("enabled_ts", free)
+    return (out.withColumn("start_ts", start).withColumn("waiting_time", seconds_between(F.col("enabled_ts"), F.col("start_ts")))
+            .select(*log.columns, "enabled_ts", "start_ts", "waiting_time"))

@@ -11,8 +11,9 @@ def single_index(log: DataFrame) -> DataFrame:
 
 
 def single_index_by_type(log: DataFrame) -> DataFrame:
-    """Type to its occurrences by trace. Traces are nested first, so a hot type gathers one entry for each trace."""
-    return single_index(log).groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("trace_id", "occurrences"))).alias("traces"))
+    """Type to its occurrences by trace: a row for each type and trace, so a frequent type is many rows and no large one.
+    Stored with ``event_type`` as the partition column, a type is read alone."""
+    return single_index(log).select("event_type", "trace_id", "occurrences")
 
 
 def last_positions(log: DataFrame) -> DataFrame:

@@ -32,10 +32,12 @@ def extract_pairs(log: DataFrame, lookback_days: int = 30, starts: DataFrame | N
         pairs = _pairs_by_time(log, lookback_days)
     else:
         ahead = with_next_other(log).filter(F.col("nxt").isNotNull() & within_lookback(F.col("ts"), F.col("nxt.ts"), lookback_days))
+        if starts is not None:  # before the pairs are made
+            ahead = ahead.join(starts.select("trace_id", "start"), "trace_id").filter(F.col("nxt.position") >= F.col("start"))
         pairs = (ahead.groupBy("trace_id", F.col("event_type").alias("eventA"), F.col("other").alias("eventB"),
                                F.col("nxt.position").alias("positionB"), F.col("nxt.ts").alias("timeB"))
                  .agg(F.min("position").alias("positionA"), F.min_by("ts", "position").alias("timeA")))
-    if starts is not None:
+    if compat_ties and starts is not None:
         pairs = pairs.join(starts, "trace_id").filter(F.col("positionB") >= F.col("start"))
     return pairs.select("eventA", "eventB", "trace_id", "timeA", "timeB", "positionA", "positionB")
 

@@ -3,14 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright import model
 from tracewright.functions import millis
 from tracewright.operators import declare, durations, indices, pairs
-from tracewright.plans.indexing import waiting_columns
+from tracewright.plans.indexing import META, NESTED_COUNT, Metadata, index_batch, index_schema, mine_constraints, waiting_columns
 from tracewright.sources.generator import generate
-from tracewright.sources.readers import event_log, parse_with_timestamp
+from tracewright.sources.readers import decode_messages, event_log, messages, parse_with_timestamp, read_log, replay, stream_source
+from tracewright.sources.store import TableStore, shared_folder
+from tracewright.streaming.engine import drop_late, read_stream, run_stream, stream_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,8 +61,8 @@ _q("trace_lengths", indices.trace_lengths, f"WITH {_E} SELECT trace_id, count(*)
 _q("event_type_counts", indices.event_type_counts, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 _q("single_index", lambda e: indices.single_index(e).select("trace_id", "event_type", F.posexplode("occurrences").alias("idx", "o")).select("trace_id", "event_type", "idx", "o.position", "o.ts"),
    f"WITH {_E} SELECT trace_id, event_type, CAST(row_number() OVER (PARTITION BY trace_id, event_type ORDER BY pos) - 1 AS INTEGER) AS idx, pos AS position, ts FROM e")
-_q("single_index_by_type", lambda e: indices.single_index_by_type(e).select("event_type", F.explode("traces").alias("t")).select("event_type", "t.trace_id", F.size("t.occurrences").cast("long").alias("n")),
-   f"WITH {_E} SELECT event_type, trace_id, count(*) AS n FROM e GROUP BY 1, 2")
+_q("single_index_by_type", lambda e: indices.single_index_by_type(e).select("event_type", "trace_id", F.posexplode("occurrences").alias("idx", "o")).select("event_type", "trace_id", "idx", "o.position", "o.ts"),
+   f"WITH {_E} SELECT event_type, trace_id, CAST(row_number() OVER (PARTITION BY event_type, trace_id ORDER BY pos) - 1 AS INTEGER) AS idx, pos AS position, ts FROM e")
 _POS = 'SELECT ea AS "eventA", eb AS "eventB", trace_id, pa AS "positionA", pb AS "positionB" FROM p'
 for _d in (1, 2, 5):
     _q(f"pairs_lookback_{_d}d", lambda e, d=_d: pairs.extract_pairs(e, d).select("eventA", "eventB", "trace_id", "positionA", "positionB"), f"WITH {_E}, {_pairs_sql(_d)} {_POS}")
@@ -174,6 +177,159 @@ _add("lineitem_pairs", lambda s, d: pairs.pair_counts(pairs.extract_pairs(event_
      f"WITH {_LI}, {_pairs_sql(60)} {_COUNTS.format(src='p')}")
 
 
+# --- logs with phases, so some types never follow others, and with short traces, so types are concurrent ----------------
+
+_PH = _E.replace("e AS (", "e0 AS (", 1) + ", e AS (SELECT trace_id, event_type || '_' || CAST(least(pos // 20, 3) AS VARCHAR) event_type, pos, ts FROM e0)"
+_SP = _E.replace("e AS (", "e0 AS (", 1) + ", e AS (SELECT trace_id || '-' || CAST(pos // 2 AS VARCHAR) trace_id, event_type, CAST(pos % 2 AS INTEGER) pos, ts, resource FROM e0)"
+
+
+def _phases(spark: SparkSession, d: str) -> DataFrame:
+    phase = F.least(F.floor(F.col("position") / 20), F.lit(3)).cast("string")
+    return _log(spark, d).withColumn("event_type", F.concat_ws("_", "event_type", phase))
+
+
+def _short(spark: SparkSession, d: str) -> DataFrame:
+    part = F.floor(F.col("position") / 2).cast("string")
+    return _resources(spark, d).withColumn("trace_id", F.concat_ws("-", "trace_id", part)).withColumn("position", (F.col("position") % 2).cast("int"))
+
+
+_ph_order = f"WITH {_PH}, {_ORDER.format(where='')} "
+_NEG = "SELECT a.t AS \"eventA\", b.t AS \"eventB\" FROM kk a JOIN kk b ON a.t <> b.t WHERE NOT EXISTS (SELECT 1 FROM o WHERE rule = 'response' AND ea = a.t AND eb = b.t)"
+_add("declare_negatives_phases", lambda s, d: declare.negatives(declare.activity_matrix(_phases(s, d)), declare.order_state(_phases(s, d))), _ph_order + _NEG)
+_add("declare_order_phases", lambda s, d: declare.order_state(_phases(s, d)), _ph_order + _OSEL)
+_add("concurrent_pairs_short", lambda s, d: durations.concurrent_pairs(_short(s, d)), f'WITH {_SP}, {_DFG}, {_LOOPS}, {_CONC} SELECT a AS "eventA", b AS "eventB" FROM cc')
+_add("enablement_time_concurrent", lambda s, d: durations.enablement(_short(s, d)).select("trace_id", "position", "enabled_ts"),
+     f"WITH {_SP}, {_DFG}, {_LOOPS}, {_CONC}, {_EN} SELECT trace_id, pos AS position, enabled_ts FROM en")
+_ST_SQL = ("fr AS (SELECT *, max(ts) OVER (PARTITION BY resource ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) free FROM en) "
+           "SELECT trace_id, pos AS position, resource, greatest(enabled_ts, free) AS start_ts, ((epoch_us(greatest(enabled_ts, free)) // 1000) - (epoch_us(enabled_ts) // 1000)) // 1000 AS waiting_time{more} FROM fr")
+_add("start_time_concurrent", lambda s, d: waiting_columns(_short(s, d)).select("trace_id", "position", "resource", "start_ts", "waiting_time"),
+     f"WITH {_SP}, {_DFG}, {_LOOPS}, {_CONC}, {_EN}, {_ST_SQL.format(more='')}")
+
+
+# --- readers over the whole events table, written in their format ---------------------------------------------------------
+
+
+def _lines(e: DataFrame, item: Column, sep: str) -> Column:
+    return e.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("position", item.alias("t")))).alias("l")).select("trace_id", F.array_join("l.t", sep).alias("body"))
+
+
+def _parsed_detailed(spark: SparkSession, d: str) -> DataFrame:
+    item = F.concat_ws("/delab/", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "resource")
+    path = shared_folder(spark, "lines") + "/log.withTimestamp"
+    _lines(_resources(spark, d), item, ",").select(F.concat_ws("::", "trace_id", "body").alias("value")).write.text(path)
+    return read_log(spark, path, detailed=True)
+
+
+def _parsed_xes(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda key, c: F.concat(F.lit(f'<string key="{key}" value="'), c, F.lit('"/>'))
+    date = F.concat(F.lit('<date key="time:timestamp" value="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('+00:00"/>'))
+    item = F.concat(F.lit("<event>"), text("concept:name", F.col("event_type")), text("org:resource", F.col("resource")), date, F.lit("</event>"))
+    e, path = _resources(spark, d), shared_folder(spark, "lines") + "/log.xes"
+    documents = max(1, e.select("trace_id").distinct().count() // 50)  # about 50 traces in a file
+    traces = _lines(e, item, "").select(F.pmod(F.xxhash64("trace_id"), F.lit(documents)).alias("file"), F.concat(F.lit("<trace>"), text("concept:name", F.col("trace_id")), "body", F.lit("</trace>")).alias("t"))
+    whole = traces.groupBy("file").agg(F.concat(F.lit("<log>"), F.array_join(F.collect_list("t"), ""), F.lit("</log>")).alias("value"))
+    whole.write.partitionBy("file").text(path)
+    return read_log(spark, path, detailed=True)
+
+
+_PARSED = f"WITH {_E} SELECT trace_id, event_type, pos AS position, date_trunc('second', ts) AS ts, resource FROM e"
+_add("parse_detailed", _parsed_detailed, _PARSED)
+_add("parse_xes", _parsed_xes, _PARSED)
+_q("decode_messages", lambda e: decode_messages(messages(e)).select(F.col("trace").alias("trace_id"), "event_type", "position", F.col("timestamp").cast("timestamp_ntz").alias("ts")),
+   f"WITH {_E} SELECT trace_id, event_type, pos AS position, ts FROM e")
+
+
+# --- a store that took the log in two batches, constraints that were mined after each, and a stream that replays the log ---
+
+_MADE: dict[tuple[str, str, str], TableStore] = {}
+
+
+def _made(name: str, spark: SparkSession, d: str, make: Callable[[TableStore], None]) -> TableStore:
+    """A store is filled once for each session and folder; its queries read it."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _MADE:
+        store = TableStore(spark, shared_folder(spark, name), "log")
+        make(store)
+        _MADE[key] = store
+    return _MADE[key]
+
+
+def _batches(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    old, new = _parts(e)
+    first = new.groupBy("trace_id").agg(F.min("position").alias("_first"))
+    return old, new.join(first, "trace_id").withColumn("position", (F.col("position") - F.col("_first")).cast("int")).drop("_first")
+
+
+def _store(spark: SparkSession, d: str) -> TableStore:
+    def make(store: TableStore) -> None:
+        log = waiting_columns(_resources(spark, d))
+        for part in _batches(log):
+            index_batch(store, part, Metadata("log", lookback=5, filename="events"), detailed=True)
+
+    return _made("store", spark, d, make)
+
+
+def _mined(spark: SparkSession, d: str) -> TableStore:
+    def make(store: TableStore) -> None:
+        for part in _batches(_phases(spark, d)):
+            index_batch(store, part, Metadata("log", lookback=5))
+            mine_constraints(store)
+
+    return _made("mined", spark, d, make)
+
+
+def _streamed(spark: SparkSession, d: str) -> TableStore:
+    def make(store: TableStore) -> None:
+        folder = store.path("in")
+        for _ in replay(_log(spark, d), folder):
+            for q in run_stream(store, decode_messages(stream_source(spark, "text", path=folder)), 5, available_now=True):
+                q.awaitTermination()
+
+    return _made("stream", spark, d, make)
+
+
+def _stored(name: str, table: str, schema, sql: str, view: Callable[[DataFrame], DataFrame] = lambda x: x, of: Callable[[SparkSession, str], TableStore] = _store) -> None:
+    _add(name, lambda s, d: view(of(s, d).read(table, schema)), sql)
+
+
+_EVENTS = f"WITH {_E} SELECT trace_id, event_type, pos AS position, ts FROM e"
+_stored("store_sequence", "sequence", model.EVENT, _EVENTS)
+_stored("store_single", "single", model.EVENT, _EVENTS)
+_stored("store_detailed", "detailed", model.DETAILED, f"WITH {_E}, {_DFG}, {_LOOPS}, {_CONC}, {_EN}, {_ST_SQL.format(more=', event_type, ts')}")
+_stored("store_index", "index", index_schema("positions"), f"WITH {_E}, {_pairs_sql(5)} {_POS}")
+_stored("store_count", "count", NESTED_COUNT, f"WITH {_E}, {_pairs_sql(5)} {_COUNTS.format(src='p')}", lambda x: x.select("eventA", F.inline("times")))
+_stored("store_last_checked", "last_checked", model.LAST_CHECKED, SQL["last_checked_evicted"].replace(f"(epoch_us(TIMESTAMP '{CUT}') // 1000)", f"((SELECT epoch_us(min(ts)) FROM e WHERE ts >= TIMESTAMP '{CUT}') // 1000)"))
+_stored("store_metadata", "metadata", META, f"WITH {_E}, {_pairs_sql(5)} SELECT 'log' AS log_name, 'positions' AS mode, 'snappy' AS compression, CAST(5 AS BIGINT) AS lookback, count(DISTINCT trace_id) AS traces, count(*) AS events, "
+        "(SELECT count(*) FROM p) AS pairs, true AS has_previous_stored, 'events' AS filename, min(ts) AS start_ts, max(ts) AS last_ts FROM e",
+        lambda x: x.select("log_name", "mode", "compression", "lookback", "traces", "events", "pairs", "has_previous_stored", "filename", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "last_ts"))))
+for _name, _schema, _sql in (
+        ("position", model.POSITION_STATE, f"WITH {_PH} {_FL}"),
+        ("existence", model.EXISTENCE_STATE, SQL["declare_exactly_n"].replace(_E, _PH)), ("unordered_u", model.UNORDERED_U, SQL["declare_u"].replace(_E, _PH)),
+        ("unordered_i", model.UNORDERED_I, SQL["declare_i"].replace(_E, _PH)), ("order", model.ORDER_STATE, _ph_order + _OSEL), ("negatives", model.NEGATIVE, _ph_order + _NEG)):
+    _stored(f"mined_{_name}", f"declare_{_name}", _schema, _sql, of=_mined)
+_stored("mined_positions", "declare_mined", model.MINED, f"WITH {_PH} SELECT trace_id, CAST(max(pos) + 1 AS INTEGER) AS mined FROM e GROUP BY 1", of=_mined)
+_add("stream_sequence", lambda s, d: read_stream(_streamed(s, d), "sequence", model.EVENT), _EVENTS)
+_add("stream_single", lambda s, d: read_stream(_streamed(s, d), "single", model.EVENT), _EVENTS)
+_add("stream_pairs", lambda s, d: read_stream(_streamed(s, d), "index", model.PAIR).select("eventA", "eventB", "trace_id", "positionA", "positionB"), f"WITH {_E}, {_pairs_sql(5)} {_POS}")
+_add("stream_counts", lambda s, d: read_stream(_streamed(s, d), "count", model.COUNT), f"WITH {_E}, {_pairs_sql(5)} {_COUNTS.format(src='p')}")
+_add("stream_metadata", lambda s, d: stream_metadata(_streamed(s, d)), f"WITH {_E}, {_pairs_sql(5)} SELECT count(DISTINCT trace_id) AS traces, count(*) AS events, (SELECT count(*) FROM p) AS pairs FROM e")
+
+
+def _not_late(spark: SparkSession, d: str) -> DataFrame:
+    """Even event numbers of each trace in one batch, odd ones in the next: of these only what is later than all before stays."""
+    root, log = shared_folder(spark, "late"), _log(spark, d)
+    for odd in (0, 1):
+        messages(log.filter(F.col("position") % 2 == odd)).write.mode("append").text(f"{root}/in")
+        kept = drop_late(decode_messages(stream_source(spark, "text", path=f"{root}/in")))
+        w = kept.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        w.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("trace string, event_type string, timestamp timestamp, position int").parquet(f"{root}/out")
+    return out.select(F.col("trace").alias("trace_id"), "event_type", "position", F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+
+
+_add("stream_not_late", _not_late, f"WITH {_E}, m AS (SELECT trace_id, max(ts) m FROM e WHERE pos % 2 = 0 GROUP BY 1) SELECT trace_id, event_type, pos AS position, ts FROM e JOIN m USING (trace_id) WHERE pos % 2 = 0 OR ts > m")
+
+
 def _synthetic(spark: SparkSession, d: str) -> DataFrame:
     return generate(spark, 1000, 20).groupBy("trace_id").agg(F.count("*").alias("n"), F.max(millis(F.col("ts"))).alias("last_ms"))
 

@@ -1,7 +1,7 @@
 """Event-log readers: every reader gives (trace_id, event_type, position, ts[, resource])."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,7 +106,24 @@ def decode_messages(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json(F.col("value").cast("string"), STREAM_MESSAGE).alias("json")).select("json.*")
 
 
+def messages(log: DataFrame) -> DataFrame:
+    """An event log as stream messages: JSON in ``value``."""
+    return log.select(F.to_json(F.struct(F.col("trace_id").alias("trace"), "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "position")).alias("value"))
+
+
+def replay(log: DataFrame, folder: str, parts: int = 3) -> Iterator[int]:
+    """Replays a log for a stream that reads text from ``folder``: its messages in ``parts`` equal stretches of time, one after
+    another; gives the number of each once it is written."""
+    lo, hi = log.agg(F.min("ts"), F.max("ts")).first()
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = us(F.lit(hi).cast("timestamp_ntz")) - us(F.lit(lo).cast("timestamp_ntz")) + 1
+    at = F.floor((us(F.col("ts")) - us(F.lit(lo).cast("timestamp_ntz"))) * parts / span)
+    for part in range(parts):
+        messages(log.filter(at == part)).write.mode("append").text(folder)
+        yield part
+
+
 def stream_source(spark: SparkSession, fmt: str = "kafka", **options: str) -> DataFrame:
     """A raw stream with a ``value`` column. Kafka by default; ``fmt='text'`` reads JSON lines from a folder."""
     base = {"startingOffsets": "latest", "minOffsetsPerTrigger": "1000", "maxTriggerDelay": "10s"} if fmt == "kafka" else {}
-    return spark.readStream.format(fmt).options(**(base | options)).load(*([options["path"]] if "path" in options and fmt != "kafka" else []))
+    return spark.readStream.format(fmt).options(**(base | options)).load()
