@@ -24,15 +24,17 @@ from tracewright.llm._shared import U, mix, ragged, read_file, run_hashes, settl
 END_ID = 2
 _CACHE = 2_000_000
 _CHUNK = 1 << 21
-_LETTER, _NUMBER, _SPACE, _OTHER, _EDGE = range(5)
+_LETTER, _NUMBER, _SPACE, _OTHER, _EDGE, _UNSURE = range(6)
 
 
 def _classes() -> np.ndarray:
-    """Class of each code point (letter, number, white space, other); one more entry is the edge of a text."""
+    """Class of each code point (letter, number, white space, other); one more entry is the edge of a text. What the Unicode
+    tables at hand do not know is unsure: the library may have newer ones."""
     import unicodedata
 
     kinds = {"L": _LETTER, "N": _NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.int8, 0x110000)
+    names = (unicodedata.category(chr(c)) for c in range(0x110000))
+    out = np.fromiter((_UNSURE if n == "Cn" else kinds.get(n[0], _OTHER) for n in names), np.int8, 0x110000)
     space = [c for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
     out[space] = _SPACE
     return np.append(out, np.int8(_EDGE))
@@ -108,6 +110,9 @@ class Encoder:
                 self._clear()
             edge = np.array([0x110000], dtype=np.uint32)
             points = np.concatenate([x for t in part for x in (np.frombuffer(t.encode("utf-32-le"), np.uint32), edge)])
+            kind = self.classes[points]
+            edges = np.append(0, np.flatnonzero(points == 0x110000))
+            unsure = np.diff(np.append(0, np.cumsum(kind == _UNSURE))[edges + np.append(0, np.ones(len(edges) - 1, np.int64))]) > 0
             s, e = self.pieces(points)
             codes, unique, first = _distinct(pd, run_hashes(points, s, e))
             order = np.argsort(unique)
@@ -119,9 +124,9 @@ class Encoder:
             slot = np.searchsorted(self.keys, unique)[codes]
             n = self.lengths[slot]
             flat = self.ids[ragged(self.starts[slot], n)]
-            stop = np.append(0, np.cumsum(n))[np.searchsorted(s, np.append(0, np.flatnonzero(points == 0x110000)))]
-            for t, lo, hi in zip(part, stop[:-1].tolist(), stop[1:].tolist(), strict=True):
-                if any(x in t for x in self.special):  # the library gives these strings their own ids
+            stop = np.append(0, np.cumsum(n))[np.searchsorted(s, edges)]
+            for t, lo, hi, whole in zip(part, stop[:-1].tolist(), stop[1:].tolist(), unsure.tolist(), strict=True):
+                if whole or any(x in t for x in self.special):  # special strings have ids of their own
                     yield np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], dtype=np.uint32)
                     continue
                 out = np.empty(hi - lo + 1, dtype=np.uint32)
