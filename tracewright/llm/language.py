@@ -16,6 +16,8 @@ ORDERS = (2, 3, 4)
 DIM = 16
 #: About how many labelled rows a model is fitted on, at most twice as many; those with the smallest hashes of their id.
 SAMPLE = 4000
+#: Characters of the longest text that is fitted on, so what the sample may hold is bounded.
+LONGEST = 20_000
 UNKNOWN = "und"
 
 _at = np.arange(256)
@@ -125,8 +127,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2.0
 
 def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = 4, held_out: int = 2) -> Model | None:
     """Fits on about ``sample`` labelled rows outside the held-out fold (never over twice as many): the share of rows with
-    the smallest hashes. The rows are counted first, so no task sends more than its share."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", modulus, held_out))
+    the smallest hashes, of texts of at most LONGEST characters. The rows are counted first, so no task sends more than its
+    share. Rows with a null text, lang or doc_id are not fitted on; without any the model is None."""
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= LONGEST) & F.coalesce(~in_fold("doc_id", modulus, held_out), F.lit(False)))
     share = min(1.0, sample / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     got = sorted(rows.filter(drawn).select("text", "lang").limit(2 * sample).collect())
@@ -140,12 +143,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Null text, text without a letter, or no model: ``und``, score 0, rejected. A known language with a score under the
     model's threshold is rejected too.
     """
-    import re
+    import regex
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
     small_batches(docs.sparkSession)
-    letter = re.compile(r"[^\W\d_]").search
+    letter = regex.compile(r"\p{L}").search
     place = kept.index("text")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +171,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def predict_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected; trained and applied on the same table."""
+    """doc_id, held_out, lang_pred, score, rejected of every row; trained and applied on the same table.
+
+    Null, empty and letterless texts are ``und`` with score 0. Repeated rows give a row each and the same answer; ties go to the
+    language that comes first by name; long texts are read whole; an empty table gives no rows; other columns do not matter.
+    A null doc_id is in no fold.
+    """
     out = identify(docs.select("doc_id", "text"), train(docs, sample))
     return out.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
