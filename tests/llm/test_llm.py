@@ -439,6 +439,104 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.filter("vec_id < 3"), frame.filter("vec_id = 0")).count() == 2
 
 
+def test_wide_and_repeated_neighbours(spark):
+    """Close vectors of 4096 components, rows of one id, and queries of one id, against brute force."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=4096) * 3 + rng.normal(size=(300, 4096)) * 1e-3
+    rows = [(i % 290, v[i].tolist()) for i in range(300)]
+    asked = [(500, v[0].tolist()), (500, v[0].tolist()), (20, v[20].tolist())]
+    kind = "vec_id long, embedding array<double>"
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, kind).repartition(3), spark.createDataFrame(asked, kind)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, x in ((500, v[0]), (20, v[20])):
+        want = sorted((-float((x * y).sum()), i % 290) for i, y in enumerate(v) if i % 290 != q)[:20]
+        assert got[q] == [(i, -s) for s, i in want]
+    a, b = rng.integers(-127, 128, (5, 5000)).astype(np.int8), np.full((3, 5000), 127, np.int8)
+    assert (neighbours.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all() and neighbours.products(b, b)[0, 0] == 127 * 127 * 5000
+
+
+def test_encoder_of_new_characters():
+    """Letters and digits that are younger than Python's tables, contractions after them, and white space of all kinds."""
+    enc, rnd = tokens.Encoder(tokenizer_path()), random.Random(12)
+    pool = [*map(chr, (0x1E5D0, 0x10D40, 0xA7DA, 0x41, 0x61, 0x20, 0x0A, 0x27, 0x27, 0x73, 0x74, 0x31, 0x2B, 0xB2, 0x85, 0x1C, 0xA0, 0x2028, 0x3000, 0x1F600)), "'re", "'ll", "'ve", " "]
+    texts = [chr(c) + "'t" for c in (0x1E5D0, 0x10D40, 0xA7DA)] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert got.tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 2], t.encode("unicode_escape")
+
+
+def test_what_is_no_letter(spark):
+    rows = [(i, t, "aa" if i % 2 else "bb") for i, t in enumerate(["bado kire", "stroh pflug"] * 40)] + [(1000 + i, t, None) for i, t in enumerate(("² ½", "①", "١٢", "_", "ª", "ˇ 1"))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(1000, 1004)) and all(got[i][0] in ("aa", "bb") for i in (1004, 1005))
+
+
+def naive_tiles(doc, item, least):
+    """Longest common run of unmarked words, the earliest first, again and again."""
+    doc, item, out = list(doc), list(item), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] is not None and doc[i + n] == item[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        doc[i:i + n], item[j:j + n] = [None] * n, [-1] * n
+
+
+def test_tiles_are_the_naive_ones():
+    rnd = random.Random(14)
+    for k in range(150):
+        kinds = rnd.choice([1, 2, 3, 6])
+        doc, item = ([f"w{rnd.randrange(kinds)}" for _ in range(rnd.randint(1, 40))] for _ in range(2))
+        if k % 2:
+            doc[5:5] = item[3:20]
+        index = decontaminate.Index([0], [" ".join(item)], 3)
+        at, w = decontaminate.doc_words([" ".join(doc)], decontaminate.ALNUM)
+        got = [decontaminate.tile(rows.tolist(), len(doc), len(item), least) for _, _, least, rows in index.matches(at, w)]
+        want = naive_tiles(doc, item, min(3, len(item)))
+        assert got == ([want] if want else []), (doc, item)
+
+
+def test_repetitive_texts_stay_small(spark):
+    rows = [(1, "w " * 20_000), (2, "a b " * 10_000), (3, "a " * 20_000)]
+    items = [(1, "w " * 300), (2, "a b " * 150)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.covered_words, r.tiles) for r in got) == [(1, 1, 300, 1), (2, 2, 300, 1)]
+    index = decontaminate.Index([1], ["w " * 300], 5)
+    assert sum(len(x) for *_, x in index.matches(*decontaminate.doc_words(["w " * 20_000], decontaminate.ALNUM))) < 21_000
+
+
+def test_secrets_of_a_long_text(spark):
+    """Thousands of spans, some over one another, in one text: positions, apartness and masking as with one by one."""
+    rnd = random.Random(5)
+    token = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    parts = []
+    for i in range(2000):
+        parts += [token("0123456789abcdef", 20), words(2, rnd), "token=" + token("0123456789abcdef", 20) if i % 3 else "é \U0001f600", token("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789", 30) if i % 5 == 0 else "x"]
+    text = " ".join(parts)
+    frame = spark.createDataFrame([(1, text, 3), (2, None, None)], "doc_id long, text string, n_chars int")
+    row = secrets.digest(frame.drop("n_chars")).filter("doc_id = 1").first()
+    found = sorted((m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(KINDS) for m in p.finditer(text) if ok(m))
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, e, n in found).encode()).hexdigest()
+    spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in row.spans.split(",")]
+    random_ones = [(s, e) for k, s, e in spans if k == "random"]
+    assert 350 <= len(random_ones) <= 400 and not any(s < b and a < e for s, e in random_ones for a, _, b, _ in found)
+    want, at = [], 0
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if s >= at:
+            want += [text[at:s], "[secret]"]
+        at = max(at, e)
+    masked = {r.doc_id: r for r in secrets.mask(frame).collect()}
+    assert masked[1].text == "".join([*want, text[at:]]) and masked[1].n_chars == len(masked[1].text) and masked[2].text is None and masked[2].n_chars is None
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
