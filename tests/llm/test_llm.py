@@ -299,6 +299,37 @@ def test_passages_with_spread_edits(spark):
     assert passages.least_span(50, 0.8, 4) == 7
 
 
+def test_passages_of_ids_with_several_texts(spark):
+    """Rows of one id with other texts, null ones among them, lose no passage and are not held against each other."""
+    rnd = random.Random(51)
+    p, q = words(70, rnd), words(80, rnd)
+    kind = "doc_id long, text string"
+    get = lambda rows: {(r.doc_id, r.other_id, r.end - r.start) for r in passages.repeated_passages(spark.createDataFrame(rows, kind)).collect()}
+    assert get([(1, p), (1, None), (2, p), (2, None)]) == {(1, 2, 70), (2, 1, 70)} == get([(1, p), (2, p), (2, None)])
+    assert get([(1, p), (1, p + " more"), (1, p)]) == set()
+    got = get([(1, p + " " + words(9, rnd)), (1, words(9, rnd) + " " + p), (2, p), (1, q), (3, q)])
+    assert {(1, 2, 70), (2, 1, 70), (1, 3, 80), (3, 1, 80)} == got
+
+
+def test_passages_with_small_tasks(spark, docs):
+    """Seeds that a task sends on early meet those of the others all the same."""
+    whole = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    small = {r.doc_id for r in passages.repeated_passages(docs.repartition(9), flush=50).collect()}
+    assert whole == small and set(range(60, 70)) <= whole
+
+
+def test_stretches_of_many():
+    rng = np.random.default_rng(9)
+    equal = rng.random(4000) < 0.7
+    starts = np.sort(rng.integers(0, 3900, 200))
+    lengths = rng.integers(0, 80, 200)
+    want = [passages.stretch(np.ones(n, int), equal[s:s + n].astype(int)) for s, n in zip(starts, lengths, strict=True)]
+    assert passages.stretches(equal, starts, lengths).tolist() == want
+    cols = np.sort(rng.integers(0, 1 << 60, 500).astype(np.uint64)), rng.integers(0, 9, 500).astype(np.uint32), rng.integers(0, 9, 500).astype(np.uint8)
+    back = passages.unpack(passages.pack(*cols), (np.uint64, np.uint32, np.uint8))
+    assert all((a == b).all() for a, b in zip(cols, back, strict=True))
+
+
 def test_tiles(spark, docs, empty):
     rnd = random.Random(8)
     items = [(i, words(40, rnd)) for i in range(12)] + [(50, "tiny item"), (51, None), (52, "")]
