@@ -450,6 +450,41 @@ def test_html_regions(spark):
     assert all(got[10 * k + i] == w for k, w in enumerate(want) for i in range(4))
 
 
+def test_html_of_templates(spark):
+    """No telling names: what is the same on every page of a host's template is the template's, and what repeats is not. Pages
+    that are copies keep their text, and so do hosts with few pages."""
+    rnd = random.Random(61)
+    page = lambda body, extra="": f"<html><body><div class=a1>A slogan for all</div><div class=b2>{body}</div>{extra}<div class=c3>All rights kept 2020 &amp; on</div></body></html>"
+    bodies = ["".join(f"<p>{words(rnd.randint(5, 30), rnd)}</p>" for _ in range(rnd.randint(1, 6))) + "<p>The end.</p>" * (i % 2) for i in range(20)]
+    rows = [(i, "http://one.example/", page(b, "<div class=d4>Seldom</div>" if i == 3 else "")) for i, b in enumerate(bodies)]
+    rows += [(100 + i, "http://copies.example/", page(bodies[0])) for i in range(9)] + [(200 + i, "http://few.example/", page(bodies[i])) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    text = lambda b: "\n\n".join(re.findall("<p>(.*?)</p>", b))
+    with_all = lambda b: f"A slogan for all\n\n{text(b)}\n\nAll rights kept 2020 & on"
+    assert all(got[i] == text(bodies[i]) + ("\n\nSeldom" if i == 3 else "") for i in range(20))
+    assert all(got[100 + i] == with_all(bodies[0]) for i in range(9)) and all(got[200 + i] == with_all(bodies[i]) for i in range(4))
+
+
+def test_wrappers_align_as_brute_force():
+    """The children of two wrappers are aligned along a longest common subsequence, what is left over is optional."""
+    from itertools import combinations
+
+    rnd = random.Random(62)
+    node = lambda label: [label, 0, 0, 1, 0, 0, [], {}, 1]
+    for _ in range(200):
+        a, b = ([rnd.choice("uvwxyz") for _ in range(rnd.randint(0, 7))] for _ in range(2))
+        longest = max(n for n in range(8) if n == 0 or {tuple(a[i] for i in c) for c in combinations(range(len(a)), n)} & {tuple(b[i] for i in c) for c in combinations(range(len(b)), n)})
+        out = html._align([*map(node, a)], [*map(node, b)])
+        both = [x[0] for x in out if x[8] == 2]
+        assert len(both) == longest and len(out) == len(a) + len(b) - longest and all(x[2] == (x[8] == 1) for x in out)
+        assert all(is_in(both, side) for side in (a, b))
+
+
+def is_in(part, whole):
+    rest = iter(whole)
+    return all(x in rest for x in part)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 8)).astype(np.float32).round(1)

@@ -2,8 +2,8 @@
 
 The pages of a host are token streams of one or a few templates. Those of a template are folded pairwise into a union-free
 regular expression: labels that agree are aligned, neighbours of one label become a repeated group, what only one side has becomes
-optional, and text becomes a slot with the amount of text and of link text seen there. The wrapper then tells where the
-template keeps its articles; a page is read along it.
+optional, and text becomes a slot unless it is the same on every page. The wrapper then tells where the template keeps its
+articles and which blocks are its own and no page's (slogans, notices, rights lines); a page is read along it.
 """
 from __future__ import annotations
 
@@ -136,7 +136,8 @@ def events(page: str) -> Iterator[tuple[str, str, int]]:
         yield "close", stack.pop(), False
 
 
-# --- wrappers: [label, repeated, optional, text, link text, noise, children] ------------------------------------------
+# --- wrappers: [label, repeated, optional, text, link text, noise, children, blocks, pages] ----------------------------
+# text and link text are amounts; blocks are the texts that all pages have there, by hash, with their lengths
 
 
 #: Levels and neighbours that a wrapper tells apart. The reading of pages has no such bounds.
@@ -162,13 +163,42 @@ def template_of(page: str) -> int:
     return int.from_bytes(blake2b("\n".join(sorted(found)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+#: Pages that a template must have, and of them those that must have an element, before a text of it is the template's own;
+#: and the most of an average page's text that may be. Pages that are copies of each other so keep what they have.
+LEAST_PAGES, MOST_PAGES, MOST_TEXT = 5, 0.5, 0.5
+
+
+def _hash(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _block(buffer: list[str]) -> str:
+    text = " ".join(unescape("".join(buffer)).split())
+    buffer.clear()
+    return text
+
+
 def tree_of(page: str) -> list:
-    root = ["", 0, 0, 0, 0, 0, []]
-    stack = [root]
+    root = ["", 0, 0, 0, 0, 0, [], {}, 1]
+    stack, buffer, noise = [root], [], [0]
+
+    def end() -> None:
+        if text := _block(buffer):
+            stack[-1][7][_hash(text)] = len(text)
+
     for kind, what, flag in events(page):
+        # blocks end where main_text ends them
+        if not noise[-1] and (kind in ("close", "rule") or kind == "open" and what.split(".")[0] not in _RAW):
+            end()
+        if kind == "open":
+            noise.append(noise[-1] or flag)
+        elif kind == "close" and len(noise) > 1:
+            noise.pop()
+        elif not noise[-1] and kind in ("text", "gap"):
+            buffer.append(what if kind == "text" else " ")
         if kind == "open":
             if len(stack) < _DEPTH:
-                stack[-1][6].append(node := [what, 0, 0, 0, 0, int(flag), []])
+                stack[-1][6].append(node := [what, 0, 0, 0, 0, int(flag), [], {}, 1])
             else:  # deeper elements are not told apart in the wrapper; their text counts at this one
                 node = stack[-1]
             stack.append(node)
@@ -178,6 +208,8 @@ def tree_of(page: str) -> list:
         elif kind == "text" and (n := len(what.strip())):
             stack[-1][3] += n
             stack[-1][4] += n if flag else 0
+    if not noise[-1]:
+        end()
     root[6] = _groups(root[6])
     return root
 
@@ -187,28 +219,29 @@ def _groups(children: list) -> list:
     out: list = []
     for c in children:
         if out and out[-1][0] == c[0]:
-            out[-1] = merge(out[-1], c)
+            out[-1] = merge(out[-1], c, False)
             out[-1][1] = 1
         else:
             out.append(c)
     if len(out) > _WIDTH:
         by: dict[str, list] = {}
         for c in out:
-            by[c[0]] = [*(m := merge(by[c[0]], c))[:1], 1, *m[2:]] if c[0] in by else c
+            by[c[0]] = [*(m := merge(by[c[0]], c, False))[:1], 1, *m[2:]] if c[0] in by else c
         out = list(by.values())
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of both."""
-    return [a[0], a[1] | b[1], a[2] | b[2], a[3] + b[3], a[4] + b[4], a[5] | b[5], _groups(_align(a[6], b[6]))]
+def merge(a: list, b: list, pages: bool = True) -> list:
+    """The wrapper of both, which are of different pages or else neighbours in one."""
+    blocks = {k: n for k, n in a[7].items() if k in b[7]} if pages else a[7] | b[7]
+    return [a[0], a[1] | b[1], a[2] | b[2], a[3] + b[3], a[4] + b[4], a[5] | b[5], _groups(_align(a[6], b[6], pages)), blocks, a[8] + b[8] if pages else max(a[8], b[8])]
 
 
-def _align(a: list, b: list) -> list:
+def _align(a: list, b: list, pages: bool = True) -> list:
     """Longest common subsequence of labels; what one side alone has is optional."""
     n, m = len(a), len(b)
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -216,7 +249,7 @@ def _align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:2], 1, *a[i][3:]])
@@ -251,6 +284,27 @@ def kept_of(wrapper: list) -> list[str]:
     return sorted(found)
 
 
+def constants_of(wrapper: list, kept: Collection[str] = ()) -> list[str]:
+    """The blocks that are the template's own, as label and hash: in an element that is neither repeated nor within a repeated
+    one, and that half of the pages have, the same text on every one of them. None at all, if they are most of the text."""
+    found: dict[str, int] = {}
+    total = 0
+
+    def walk(node: list, single: bool) -> None:
+        nonlocal total
+        if node[5] & _SURE or node[5] and node[0] not in kept:
+            return
+        total += node[3]
+        single = single and not node[1]
+        if single and node[8] >= max(LEAST_PAGES, MOST_PAGES * wrapper[8]):
+            found.update({f"{node[0]}:{h}": n for h, n in node[7].items()})
+        for c in node[6]:
+            walk(c, single)
+
+    walk(wrapper, True)
+    return sorted(found) if sum(found.values()) * wrapper[8] <= MOST_TEXT * total else []
+
+
 def region_of(wrapper: list, kept: Collection[str] = ()) -> str:
     """Label of the element that holds the articles of a template: of article and main the one with more text, if it has half
     of all that is neither link nor noise (an element about it, if the title stands there). Else the smallest element
@@ -293,8 +347,8 @@ def region_of(wrapper: list, kept: Collection[str] = ()) -> str:
         node = live[0]
 
 
-def main_text(page: str | None, region: str = "", kept: Collection[str] = ()) -> str:
-    """Blocks inside the region (elsewhere if the page has none) without noise, joined by an empty line."""
+def main_text(page: str | None, region: str = "", kept: Collection[str] = (), constants: Collection[str] = ()) -> str:
+    """Blocks inside the region (elsewhere if the page has none) without noise and the template's own, joined by an empty line."""
     if not page:
         return ""
     inside: list[str] = []
@@ -302,11 +356,11 @@ def main_text(page: str | None, region: str = "", kept: Collection[str] = ()) ->
     stack: list[list] = []  # label, noise, in region
     buffer: list[str] = []
     noise = where = 0
+    own = frozenset(constants)
 
     def end() -> None:
-        text = " ".join(unescape("".join(buffer)).split())
-        buffer.clear()
-        if text:
+        text = _block(buffer)
+        if text and not (own and f"{stack[-1][0] if stack else ''}:{_hash(text)}" in own):
             (inside if where else outside).append(text)
 
     tag = region.split(".")[0]
@@ -345,12 +399,17 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+#: Parts in which the wrappers of a host's template are folded first.
+_PARTS = 64
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row (columns page_id, url, html).
 
     Null or empty html, or a page without article text, gives an empty text and 0. A null or strange url is the host "".
-    Repeated rows give a row each; an empty table none; other columns do not matter. A task folds the pages it has of a
-    template of a host into one wrapper, so a hot one sends one row a task; pages meet their region in a join that can be split.
+    Repeated rows give a row each; an empty table none; other columns do not matter; pages may be long. A task folds the pages
+    it has of a template of a host into one wrapper; the wrappers of a host meet in two steps, so a hot one with a row from
+    each task is folded by many; pages meet their region in a join that can be split.
     """
     spark, root = pages.sparkSession, work_dir(pages.sparkSession, "html")
     named = pages.select("page_id", "url", "html", host_of().alias("_host"))
@@ -371,14 +430,28 @@ def extract(pages: DataFrame) -> DataFrame:
     def rows(held: dict) -> pa.RecordBatch:
         return pa.record_batch([pa.array([h for h, _ in held], pa.string()), pa.array([t for _, t in held], pa.int64()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["_host", "_template", "wrapper"])
 
-    def fold(table: pa.Table) -> pa.Table:
+    def folded(table: pa.Table) -> list:
         out = None
         for w in sorted(table.column("wrapper").to_pylist()):
             out = json.loads(w) if out is None else merge(out, json.loads(w))
-        return pa.table({"_host": table.column("_host").slice(0, 1), "_template": table.column("_template").slice(0, 1), "_region": pa.array([region_of(out, kept := kept_of(out))], pa.string()), "_kept": pa.array([kept], pa.list_(pa.string()))})
+        return out
+
+    def part(table: pa.Table) -> pa.Table:
+        return pa.table({"_host": table.column("_host").slice(0, 1), "_template": table.column("_template").slice(0, 1), "wrapper": pa.array([json.dumps(folded(table))], pa.string())})
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = folded(table)
+        kept = kept_of(out)
+        strings = lambda x: pa.array([x], pa.list_(pa.string()))
+        return pa.table({"_host": table.column("_host").slice(0, 1), "_template": table.column("_template").slice(0, 1), "_region": pa.array([region_of(out, kept)], pa.string()), "_kept": strings(kept), "_own": strings(constants_of(out, kept))})
 
     wrappers = named.select("_host", "html").mapInArrow(learn, "_host string, _template long, wrapper string")
-    regions = settle(wrappers.groupBy("_host", "_template").applyInArrow(fold, "_host string, _template long, _region string, _kept array<string>"), f"{root}/regions")
+    parts = wrappers.groupBy("_host", "_template", F.pmod(F.xxhash64("wrapper"), F.lit(_PARTS)).alias("_part")).applyInArrow(part, "_host string, _template long, wrapper string")
+    regions = settle(parts.groupBy("_host", "_template").applyInArrow(whole, "_host string, _template long, _region string, _kept array<string>, _own array<string>"), f"{root}/regions")
+
+    # what one template of a host has as its own is so in the others too, such as that of a page with one more element
+    own = regions.select("_host", F.explode("_own").alias("o")).groupBy("_host").agg(F.sort_array(F.collect_set("o")).alias("_own"))
+    regions = regions.drop("_own").join(own, "_host", "left")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,10 +462,10 @@ def extract(pages: DataFrame) -> DataFrame:
             pages = batch.column("html").to_pylist()
             for a, b in slices(pages):
                 chunk = batch.slice(a, b - a)
-                texts = [main_text(p, r or "", k or ()) for p, r, k in zip(pages[a:b], chunk.column("_region").to_pylist(), chunk.column("_kept").to_pylist(), strict=True)]
+                texts = [main_text(p, r or "", k or (), o or ()) for p, r, k, o in zip(pages[a:b], *(chunk.column(c).to_pylist() for c in ("_region", "_kept", "_own")), strict=True)]
                 yield pa.record_batch([chunk.column("page_id"), chunk.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     signed = named.mapInArrow(sign, f"page_id {kinds['page_id']}, url {kinds['url']}, html string, _host string, _template long")
-    return (signed.join(regions, ["_host", "_template"], "left").select("page_id", "url", "html", "_region", "_kept")
+    return (signed.join(regions, ["_host", "_template"], "left").select("page_id", "url", "html", "_region", "_kept", "_own")
             .mapInArrow(read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"))
