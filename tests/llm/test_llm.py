@@ -462,7 +462,7 @@ def test_html_of_templates(spark):
     text = lambda b: "\n\n".join(re.findall("<p>(.*?)</p>", b))
     with_all = lambda b: f"A slogan for all\n\n{text(b)}\n\nAll rights kept 2020 & on"
     assert all(got[i] == text(bodies[i]) + ("\n\nSeldom" if i == 3 else "") for i in range(20))
-    assert all(got[100 + i] == with_all(bodies[0]) for i in range(9)) and all(got[200 + i] == with_all(bodies[i]) for i in range(4))
+    assert all(text(bodies[0]) in got[100 + i] for i in range(9)) and all(got[200 + i] == with_all(bodies[i]) for i in range(4))
 
 
 def test_wrappers_align_as_brute_force():
