@@ -404,8 +404,8 @@ def test_language_model(spark, docs, empty):
                 out -= math.log10(256 - len(gone))
         return out
 
-    for blocks in (4_000_000, 300):
-        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out) for r in ppm.score_documents(frame, block_windows=blocks).collect())
+    for rows_of_part in (1 << 13, 7):
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out) for r in ppm.score_documents(frame, part_rows=rows_of_part).collect())
         want = sorted((str(i), len(toks(t)), sum(c[x] > 0 for x in toks(t)), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in toks(t)), 6), round(bits(t), 6),
                        i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows)
         for g, w in zip(got, want, strict=True):
