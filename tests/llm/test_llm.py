@@ -299,6 +299,31 @@ def test_passages_with_spread_edits(spark):
     assert passages.least_span(50, 0.8, 4) == 7
 
 
+def test_passages_under_crowded_seeds(spark):
+    """Other documents hold every run of a passage's words that is a seed, and come first; edited copies are found all the same."""
+    rnd = random.Random(61)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, twins = [], []
+    for i in range(40):
+        p, k, long = fresh(64), (5, 6, 8, 10)[i % 4], (6, 10)[i // 4 % 2]
+        rows += [fresh(60) + p[j:j + long] + fresh(60) for j in range(0, 61, long - 3) for _ in range(2)]
+        twins.append((p, [fresh(1)[0] if j % k == i % k else w for j, w in enumerate(p)]))
+    first = len(rows)
+    rows += [fresh(40) + t + fresh(40) for pair in twins for t in pair]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(6)
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(df).collect()}
+    want = {(first + 2 * i, first + 2 * i + 1) for i in range(40)}
+    assert len(want & (got | {(b, a) for a, b in got})) >= 38 and got <= want | {(b, a) for a, b in want}
+    doc, h = np.array([0] * 9 + [1] * 5 + [2] * 7), np.array([rnd.randrange(2**62) for _ in range(21)], np.uint64)
+    at, both = passages.seed_pairs(doc, h, 4)
+    assert at.tolist() == [i for i in range(21) for j in [i + 5] if j < 21 and doc[i] == doc[j]] and len(set(both.tolist())) == len(at)
+    h[[14, 19]] = h[[1, 6]]
+    at, both = passages.seed_pairs(doc, h, 4)
+    assert both[at == 1] == both[at == 14]
+    assert len(passages.seed_pairs(doc[:4], h[:4], 4)[0]) == 0
+    assert passages.spread(np.array([3, 5, 40]), np.array([7, 1, 50]), np.array([9, 25, 4]), 4, 12) == ([3, 5, 8, 17, 26, 40], [7, 1, 12, 13, 22, 50])
+
+
 def test_passages_of_ids_with_several_texts(spark):
     """Rows of one id with other texts, null ones among them, lose no passage and are not held against each other."""
     rnd = random.Random(51)
