@@ -324,6 +324,50 @@ def test_passages_under_crowded_seeds(spark):
     assert passages.spread(np.array([3, 5, 40]), np.array([7, 1, 50]), np.array([9, 25, 4]), 4, 12) == ([3, 5, 8, 17, 26, 40], [7, 1, 12, 13, 22, 50])
 
 
+def test_passages_under_seeds_in_many_places(spark):
+    """Other documents hold every run of a passage's words that is a seed, more of them than meet each other, or some of them do: every
+    pair of edited copies comes into one class all the same."""
+    rnd = random.Random(67)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, twins = [], []
+    for i in range(12):
+        p, k = fresh(70), (5, 6, 8, 10)[i % 4]
+        part = (0, 70) if i % 3 else (0, 40)
+        rows += [fresh(40) + p[j:j + 10] + fresh(40) for j in range(part[0], part[1] - 9, 6) for _ in range(passages.MANY + 4)]
+        if i % 3:
+            rows += [fresh(40) + p[60:70] + fresh(40) for _ in range(passages.MANY + 4)]
+        twins.append((p, [fresh(1)[0] if j % k == i % k else w for j, w in enumerate(p)]))
+    first = len(rows)
+    rows += [fresh(40) + t + fresh(40) for pair in twins for t in pair]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(6)
+    want = {(first + 2 * i, first + 2 * i + 1) for i in range(12)}
+    got = passages.repeated_passages(df).collect()
+    assert {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got} == want
+    for i in want:
+        held = set().union(*(range(r.start, r.end) for r in got if r.doc_id == i[0]))
+        assert len(held & set(range(40, 110))) >= 60, (i, sorted(held))
+    key, pos, seed = np.array([1, 1, 1, 2, 2], np.uint64), np.array([0, 30, 200, 5, 40]), np.array([7, 8, 9, 7, 8], np.uint64)
+    at, both = passages.spanned(key, pos, seed)
+    assert at.tolist() == [0, 3] and both[0] == both[1]
+
+
+def test_passages_inside_looser_chains(spark):
+    """Sixty equal words between stretches of texts that share four words in seven: the chain as a whole is not similar enough."""
+    rnd = random.Random(71)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    p = fresh(260)
+    for extra in (0, 1):  # on one diagonal, and with a word put in
+        q = [w if 100 <= j < 160 or j % 7 < 4 else fresh(1)[0] for j, w in enumerate(p)]
+        q = q[:50] + fresh(extra) + q[50:]
+        rows = passages.repeated_passages(spark.createDataFrame([(1, " ".join(p)), (2, " ".join(q))], "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.other_id) for r in rows} == {(1, 2), (2, 1)}
+        assert all(set(range(100 + extra * (r.doc_id == 2), 160 + extra * (r.doc_id == 2))) <= set(range(r.start, r.end)) for r in rows)
+    for _ in range(100):
+        a, b = (np.array([rnd.randrange(6) for _ in range(rnd.randint(1, 60))]) for _ in range(2))
+        x, y = passages.aligned(a, b)
+        assert len(x) == passages.common(a, b) and (a[x] == b[y]).all() and (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+
+
 def test_passages_of_ids_with_several_texts(spark):
     """Rows of one id with other texts, null ones among them, lose no passage and are not held against each other."""
     rnd = random.Random(51)
