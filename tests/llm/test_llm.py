@@ -351,6 +351,34 @@ def test_passages_under_seeds_in_many_places(spark):
     assert at.tolist() == [0, 3] and both[0] == both[1]
 
 
+def test_passages_of_texts_that_share_runs_only(spark, monkeypatch):
+    """Texts that hold one word over and over, or the same lines about other words, are not held against each other in pairs; edited copies among
+    them are found all the same."""
+    rnd = random.Random(73)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    head, tail = fresh(16), fresh(9)
+    rows = [fresh(1) * 30 + ["the"] * (30 + i % 17) + fresh(1) * 30 for i in range(60)] + [head + fresh(40) + tail for _ in range(60)]
+    p = fresh(30)
+    rows += [fresh(30) + p[j:j + 10] + fresh(30) for j in range(0, 21, 5) for _ in range(passages.MANY + 4)]
+    twins = [head + p[:30] + tail, head + [fresh(1)[0] if j % 6 == 2 else w for j, w in enumerate(p)] + tail]
+    rows += twins
+    held, settle = {}, passages.settle
+    monkeypatch.setattr(passages, "settle", lambda df, path, *more: held.setdefault(path.rsplit("/", 1)[1], settle(df, path, *more)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(df).collect()}
+    assert {(min(v), max(v)) for v in got} == {(len(rows) - 2, len(rows) - 1)}
+    assert held["open"].count() < 60
+    for _ in range(200):
+        n = rnd.randint(60, 120)
+        word = np.array([rnd.randrange(5) for _ in range(4 * n)], np.uint16)
+        begin, length, count = np.arange(0, 4 * n, n), np.array([rnd.randint(28, 50) for _ in range(4)]), np.full(4, n)
+        i, j = passages.close_pairs(np.zeros(4, np.int64), np.array([1, 1, 2, 3]), begin, np.full(4, 9), length, count, word, 40, 0.7)
+        bag = lambda a, b: sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        part = lambda k: word[begin[k] + 9:begin[k] + 9 + length[k]]
+        want = {(b, a) for a in range(4) for b in range(a) if (a, b) != (1, 0) and bag(part(a), part(b)) >= 0.7 * max(length[a], length[b]) and bag(word[begin[a]:begin[a] + n], word[begin[b]:begin[b] + n]) >= 40}
+        assert {(min(v), max(v)) for v in zip(i.tolist(), j.tolist(), strict=True)} == want
+
+
 def test_passages_inside_looser_chains(spark):
     """Sixty equal words between stretches of texts that share four words in seven: the chain as a whole is not similar enough."""
     rnd = random.Random(71)
